@@ -39,32 +39,32 @@ def scan(
     sums: Mapping[str, Column] | None = None,
     fills: Mapping[str, Column] | None = None,
     back_fills: Mapping[str, Column] | None = None,
+    mins: Mapping[str, Column] | None = None,
+    maxes: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums, last-known and next-known values along ``order``.
+    """Add running aggregates, last-known and next-known values along ``order``.
 
-    ``sums``: inclusive running sum.  ``fills``: last non-NULL value up to and
-    including the row.  ``back_fills``: first non-NULL value from the row on.
-    ``order`` must be unique within ``keys``.
+    ``sums`` / ``mins`` / ``maxes``: inclusive running aggregate.  ``fills``:
+    last non-NULL value up to and including the row.  ``back_fills``: first
+    non-NULL value from the row on.  ``order`` must be unique within ``keys``.
     """
     sums, fills, back_fills = dict(sums or {}), dict(fills or {}), dict(back_fills or {})
+    mins, maxes = dict(mins or {}), dict(maxes or {})
     keys, order = list(keys), list(order)
-    src = df.withColumn("__blk", block)
-    for n, c in {**sums, **fills, **back_fills}.items():
-        src = src.withColumn(f"__in_{n}", c)
+    inputs = {**sums, **mins, **maxes, **fills, **back_fills}
+    src = df.select("*", block.alias("__blk"), *[c.alias(f"__in_{n}") for n, c in inputs.items()])
 
     rank = F.struct(*[F.col(o) for o in order])
-    aggs = [F.sum(f"__in_{n}").alias(f"__s_{n}") for n in sums]
-    aggs += [
-        F.max_by(F.struct(F.col(f"__in_{n}").alias("v")), F.when(F.col(f"__in_{n}").isNotNull(), rank)).alias(f"__s_{n}")
-        for n in fills
-    ]
+    running = [(n, F.sum) for n in sums] + [(n, F.min) for n in mins] + [(n, F.max) for n in maxes]
+    known = [(n, F.max_by) for n in fills] + [(n, F.min_by) for n in back_fills]
+    aggs = [f(f"__in_{n}").alias(f"__s_{n}") for n, f in running]
     aggs += [
-        F.min_by(F.struct(F.col(f"__in_{n}").alias("v")), F.when(F.col(f"__in_{n}").isNotNull(), rank)).alias(f"__s_{n}")
-        for n in back_fills
+        f(F.struct(F.col(f"__in_{n}").alias("v")), F.when(F.col(f"__in_{n}").isNotNull(), rank)).alias(f"__s_{n}")
+        for n, f in known
     ]
     w = Window.partitionBy(*keys).orderBy("__blk")
     carry = src.groupBy(*keys, "__blk").agg(*aggs)
-    picked = [F.sum(f"__s_{n}").over(w.rowsBetween(*_PAST)).alias(f"__c_{n}") for n in sums]
+    picked = [f(f"__s_{n}").over(w.rowsBetween(*_PAST)).alias(f"__c_{n}") for n, f in running]
     picked += [F.last(f"__s_{n}", True).over(w.rowsBetween(*_PAST)).alias(f"__c_{n}") for n in fills]
     picked += [F.first(f"__s_{n}", True).over(w.rowsBetween(*_FUTURE)).alias(f"__c_{n}") for n in back_fills]
     carry = carry.select(*keys, "__blk", *picked)
@@ -72,15 +72,16 @@ def scan(
     inside = Window.partitionBy(*keys, "__blk").orderBy(*order)
     up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
     onward = inside.rowsBetween(0, Window.unboundedFollowing)
-    local = [F.sum(f"__in_{n}").over(up_to).alias(f"__w_{n}") for n in sums]
+    local = [f(f"__in_{n}").over(up_to).alias(f"__w_{n}") for n, f in running]
     local += [F.last(f"__in_{n}", True).over(up_to).alias(f"__w_{n}") for n in fills]
     local += [F.first(f"__in_{n}", True).over(onward).alias(f"__w_{n}") for n in back_fills]
     out = _null_safe(src.select("*", *local), carry, [*keys, "__blk"])
 
-    final = [F.coalesce(F.col(f"__w_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums]
-    final += [F.coalesce(F.col(f"__w_{n}"), F.col(f"__c_{n}.v")) for n in (*fills, *back_fills)]
-    names = [*sums, *fills, *back_fills]
-    return out.select(*df.columns, *[c.alias(n) for c, n in zip(final, names)])
+    final = {n: F.coalesce(F.col(f"__w_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums}
+    final |= {n: F.least(F.col(f"__w_{n}"), F.col(f"__c_{n}")) for n in mins}
+    final |= {n: F.greatest(F.col(f"__w_{n}"), F.col(f"__c_{n}")) for n in maxes}
+    final |= {n: F.coalesce(F.col(f"__w_{n}"), F.col(f"__c_{n}.v")) for n in (*fills, *back_fills)}
+    return out.select(*df.columns, *[c.alias(n) for n, c in final.items()])
 
 
 def neighbours(

@@ -251,7 +251,7 @@ def resonance_panel(vowels: DataFrame, sessions: DataFrame, keys: Sequence[str])
     out = sessions.join(m, list(keys), "left").withColumn("panel_score", F.coalesce("panel", "median_resonance"))
     zone = S.score_zone(F.col("panel_score"), F.col("lang"))
     caveat = F.when(zone == D.TOP_SCORE_ZONE, "score_clamp").when(F.col("low_quality"), "low_alignment")
-    return out.select(*sessions.columns, F.round("panel_score", 3).alias("panel_score"), zone.alias("zone_key"), caveat.alias("caveat_key"))
+    return out.select(*sessions.columns, "panel_score", zone.alias("zone_key"), caveat.alias("caveat_key"))
 
 
 def advice(sessions: DataFrame) -> DataFrame:

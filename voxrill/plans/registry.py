@@ -50,7 +50,7 @@ def query(name: str, covers: str, needs: tuple[str, ...] = (), sql: str | None =
         if sql is not None:
             body = textwrap.dedent(sql).strip()
             ctes = _with(needs)
-            CHECK_SQL[name] = f"WITH {ctes}\n{body}" if ctes else body
+            CHECK_SQL[name] = f"WITH RECURSIVE {ctes}\n{body}" if ctes else body
         return fn
 
     return wrap

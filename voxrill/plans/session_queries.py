@@ -156,7 +156,7 @@ def signals(spark, d):
 
 
 @query("signal_gate", "A16 M3", ("levels_v",), """
-SELECT vec_id, round(clip, 6) AS clipping_ratio, round(CASE WHEN rms > 0 THEN 20 * log10(rms) END, 4) AS rms_dbfs,
+SELECT vec_id, round(clip, 6) AS clipping_ratio, round(CASE WHEN rms > 0 THEN 20 * log10(rms) END, 4) + 0.0 AS rms_dbfs,
   round(CASE WHEN rms > 0 THEN act ELSE 0 END, 6) AS voiced_ratio,
   concat_ws(',', CASE WHEN clip > 0.005 THEN 'clipping' END, CASE WHEN rms = 0 OR 20 * log10(rms) < -55 THEN 'too_quiet' END,
     CASE WHEN (CASE WHEN rms > 0 THEN act ELSE 0 END) < 0.10 THEN 'insufficient_voicing' END) AS codes
@@ -165,7 +165,7 @@ FROM levels_v
 def signal_gate(spark, d):
     g = SE.signal_gate(signals(spark, d), "x", frame=16, hop=4)
     return g.select(
-        "vec_id", F.round("clipping_ratio", 6).alias("clipping_ratio"), F.round("rms_dbfs", 4).alias("rms_dbfs"),
+        "vec_id", F.round("clipping_ratio", 6).alias("clipping_ratio"), (F.round("rms_dbfs", 4) + 0.0).alias("rms_dbfs"),
         F.round("voiced_ratio", 6).alias("voiced_ratio"), F.array_join(F.transform("violations", lambda v: v["code"]), ",").alias("codes"),
     )
 
@@ -243,13 +243,13 @@ SELECT *, {zone_sql('panel_score', 'lang')} AS zone_key FROM (
 
 
 @query("resonance_panel", "P20 A8", ("rpanel_v",), """
-SELECT recording_id, lang, round(panel_score, 3) AS panel_score, zone_key,
+SELECT recording_id, lang, round(panel_score, 6) AS panel_score, zone_key,
   CASE WHEN zone_key = 'at_ceiling' THEN 'score_clamp' WHEN n_phones % 3 = 0 THEN 'low_alignment' END AS caveat_key FROM rpanel_v
 """)
 def resonance_panel(spark, d):
     sc = PQ.scored(spark, d)
     s = P.recording_summary(sc, ["recording_id", "lang"]).select("recording_id", "lang", "median_resonance", (F.col("n_phones") % 3 == 0).alias("low_quality"))
-    return SE.resonance_panel(P.per_vowel(sc, ["recording_id"]), s, ["recording_id"]).select("recording_id", "lang", "panel_score", "zone_key", "caveat_key")
+    return SE.resonance_panel(P.per_vowel(sc, ["recording_id"]), s, ["recording_id"]).select("recording_id", "lang", F.round("panel_score", 6).alias("panel_score"), "zone_key", "caveat_key")
 
 
 @query("advice_panels", "P22 P12 P13 P14", ("dominant_v", "panel_v"), """
