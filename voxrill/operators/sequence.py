@@ -290,6 +290,15 @@ def best_cuts(cuts: list[float], total: float, n: int, lo: float, hi: float) ->
     return None
 
 
+def chunkable(words: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Recordings whose word timings can be trusted: two words and two positive gaps; with their duration."""
+    g = neighbours(words, keys, ["start", "ref"], block, prev={"_pe": F.col("end")})
+    a = g.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("start") > F.col("_pe")).alias("_gaps"), F.max("end").alias("duration_s")
+    )
+    return a.where("_n >= 2 AND _gaps >= 2").select(*keys, "duration_s")
+
+
 def plan_chunks(
     candidates: DataFrame, recordings: DataFrame, keys: Sequence[str],
     min_s: float = 3.0, max_s: float = 20.0, target_s: float = 10.0, max_chunks: int = 8,

@@ -156,14 +156,14 @@ FROM (SELECT *, least(value / 100, 1.0::DOUBLE) AS p FROM timeline_v)
 
 
 @query("frame_runs", "W6", ("frames_v",), """
-SELECT recording_id, CAST(run AS BIGINT) AS run, any_value(label_idx) AS label_idx, round(min(frame_idx) * 0.02, 6) AS start_s, round((max(frame_idx) + 1) * 0.02, 6) AS end_s,
-  round(avg(CASE label_idx WHEN 0 THEN p ELSE 1 - p END), 6) AS confidence
+SELECT recording_id, CAST(run AS BIGINT) AS run, any_value(label_idx) AS label_idx, round(min(frame_idx) * 0.02::DOUBLE, 6) AS start_s, round((max(frame_idx) + 1) * 0.02::DOUBLE, 6) AS end_s,
+  round(avg(CASE label_idx WHEN 0 THEN p ELSE 1 - p END), 9) AS confidence
 FROM (SELECT *, sum(CASE WHEN pl = label_idx THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY frame_idx) AS run
   FROM (SELECT *, lag(label_idx) OVER (PARTITION BY recording_id ORDER BY frame_idx) AS pl FROM frames_v)) GROUP BY recording_id, run
 """)
 def frame_runs(spark, d):
     out = Q.frame_runs(numbered_frames(spark, d), REC, F.floor(F.col("frame_idx") / 20))
-    return out.select("recording_id", F.col("run").cast("long").alias("run"), "label_idx", *r6("start_s", "end_s", "confidence"))
+    return out.select("recording_id", F.col("run").cast("long").alias("run"), "label_idx", *r6("start_s", "end_s"), F.round("confidence", 9).alias("confidence"))
 
 
 @query("margin_softmax", "M1 M2", ("frames_v",), """
@@ -291,7 +291,7 @@ def chunk_merge(spark, d):
 @query("chunk_plan", "W19 D2")
 def chunk_plan(spark, d):
     """Balanced chunk plan; checked against exhaustive search in the tests."""
-    recs = words(spark, d).groupBy("recording_id").agg(F.max("end").alias("duration_s"))
+    recs = Q.chunkable(words(spark, d), REC, F.floor(F.col("start") / 5.0))
     cand = Q.cut_candidates(silences(spark, d), words(spark, d), REC, 5.0)
     return Q.plan_chunks(cand, recs, REC).select("recording_id", "chunk", *r6("start", "end"), "is_last")
 
@@ -307,7 +307,7 @@ SELECT recording_id, ref, page FROM (
 """)
 def pages(spark, d):
     c = A.timeline(spark, d).select("recording_id", "t", "ref", Q.cell_weight(F.col("char")).alias("weight"))
-    return Q.weight_pages(c, REC, ["t", "ref"], _block(), 24).select("recording_id", "ref", "page")
+    return Q.weight_pages(c, REC, ["t", "ref"], F.floor(F.col("t") / 600), 24).select("recording_id", "ref", "page")
 
 
 @query("score_clusters", "W16", ("timeline_v",), """

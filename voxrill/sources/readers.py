@@ -8,3 +8,18 @@ def explode_stats(docs: DataFrame, text: str, keys=()) -> DataFrame:
     """Nested statistics JSON text to (keys, phoneme, formant, mean, stdev, median, max, min)."""
     m = docs.select(*keys, F.explode(F.from_json(F.col(text), STATS_JSON)).alias("phoneme", "cells"))
     return m.select(*keys, "phoneme", F.posexplode("cells").alias("formant", "c")).select(*keys, "phoneme", "formant", "c.*")
+
+
+RESULT_JSON = "medianResonance double, meanResonance double, phones array<struct<phoneme:string,expected:string,F:array<double>,resonance:double>>"
+
+
+def join_results(manifest: DataFrame, raw: DataFrame, key: str, text: str) -> DataFrame:
+    """Manifest rows with their parsed result and the reason where there is none."""
+    parsed = F.from_json(F.col(text), RESULT_JSON, {"mode": "PERMISSIVE"})
+    bad = F.try_parse_json(F.col(text)).isNull()
+    out = manifest.join(raw, key, "left").withColumn("result", parsed)
+    reason = (
+        F.when(F.col(text).isNull(), "no raw json").when(bad, "json decode")
+        .when(F.coalesce(F.size("result.phones"), F.lit(0)) <= 0, "zero phones")
+    )
+    return out.withColumn("reason", reason).drop(text)
