@@ -61,22 +61,21 @@ def vowel_label(lang: Column, phone: Column) -> Column:
     return F.when(lang == "zh", strip_tone(phone)).when(lang == "en", strip_stress(phone)).otherwise(phone)
 
 
+def is_vowel_label(lang: Column, label: Column) -> Column:
+    """Vowel test of an already normalised label, one hash lookup over all inventories."""
+    known = [f"{code}:{v}" for code, labels in D.VOWELS.items() for v in labels]
+    return F.coalesce(F.concat_ws(":", lang, label).isin(known), F.lit(False))
+
+
 def is_vowel_by_set(lang: Column, phone: Column) -> Column:
     """Vowel test by inventory membership (all four languages)."""
-    label = vowel_label(lang, phone)
-    out = F.lit(False)
-    for code, labels in D.VOWELS.items():
-        out = F.when(lang == code, label.isin(labels)).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+    return is_vowel_label(lang, vowel_label(lang, phone))
 
 
 def is_vowel_by_letter(lang: Column, phone: Column) -> Column:
     """Vowel test of the ceiling search: sets for zh/fr/ko, any of AEIOUY otherwise."""
-    label = F.when(lang == "zh", strip_tone(phone)).otherwise(phone)
-    out = phone.rlike("[AEIOUY]")
-    for code in ("zh", "fr", "ko"):
-        out = F.when(lang == code, label.isin(D.VOWELS[code])).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+    by_set = lang.isin("zh", "fr", "ko")
+    return F.coalesce(F.when(by_set, is_vowel_label(lang, phone_key(lang, phone))).otherwise(phone.rlike("[AEIOUY]")), F.lit(False))
 
 
 def normalize_lang(tag: Column) -> Column:

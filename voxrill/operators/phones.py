@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxrill.functions import dims as D
 from voxrill.functions import scalar as S
 from voxrill.operators.ordered import scan
-from voxrill.operators.quantiles import medians
+from voxrill.operators.quantiles import medians, shared
 
 FORMANTS = ["f0", "f1", "f2", "f3"]
 
@@ -48,21 +48,18 @@ def attach_reference(phones: DataFrame, wide: DataFrame) -> DataFrame:
     """z-scores against the *expected* label, only where both labels have statistics.
 
     The reference has one row per (language, label): its size is bounded by the
-    phone inventories, so the planner may broadcast it.  Phones without
-    statistics stay, with NULL z.
+    phone inventories, so the planner may broadcast it.  Each row also lists the
+    labels known in its language, so one join answers both conditions.  Phones
+    without statistics stay, with NULL z.
     """
-    keyed = phones.withColumn("_pk", S.phone_key(F.col("lang"), F.col("phoneme"))).withColumn(
-        "_ek", S.phone_key(F.col("lang"), F.col("expected"))
-    )
-    known = wide.select(F.col("lang").alias("_l1"), F.col("phoneme").alias("_p1"))
     ref = wide.select(
-        F.col("lang").alias("_l2"), F.col("phoneme").alias("_p2"),
+        F.col("lang").alias("_l"), F.col("phoneme").alias("_p"),
+        F.collect_set("phoneme").over(Window.partitionBy("lang")).alias("_known"),
         *[c for c in wide.columns if c not in ("lang", "phoneme")],
     )
-    out = keyed.join(known, (F.col("lang") == F.col("_l1")) & (F.col("_pk") == F.col("_p1")), "left").join(
-        ref, (F.col("lang") == F.col("_l2")) & (F.col("_ek") == F.col("_p2")), "left"
-    )
-    both = F.col("_p1").isNotNull() & F.col("_p2").isNotNull()
+    key = lambda c: S.phone_key(F.col("lang"), F.col(c))
+    out = phones.join(ref, (F.col("lang") == F.col("_l")) & (key("expected") == F.col("_p")), "left")
+    both = F.array_contains("_known", key("phoneme"))
     zs = [F.when(both, S.zscore(F.col(f), F.col(f"mean{i}"), F.col(f"stdev{i}"))).alias(f"z_{f}") for i, f in enumerate(FORMANTS)]
     return out.select(*phones.columns, *zs)
 
@@ -87,7 +84,7 @@ def recording_summary(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     ok = ~F.col("outlier")
     pitch = F.when(ok & (F.col("f0") != 0), F.col("f0"))
     score = F.when(ok & (F.col("resonance") != 0), F.col("resonance"))
-    base = scored.select(*keys, pitch.alias("_p"), score.alias("_r"))
+    base = shared(scored.select(*keys, pitch.alias("_p"), score.alias("_r")), [*keys, "_p", "_r"])
     plain = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_phones"),
         F.count("_p").alias("n_pitch"), F.count("_r").alias("n_score"),
@@ -106,15 +103,15 @@ def per_vowel(scored: DataFrame, keys: Sequence[str], min_tokens: int = D.PANEL_
     """Medians of score, z and formants per phone label, scored phones only (zeros included)."""
     rows = scored.where(F.col("resonance").isNotNull()).select(
         *keys,
+        *([] if "lang" in keys else ["lang"]),
         S.vowel_label(F.col("lang"), F.col("phoneme")).alias("vowel"),
-        S.is_vowel_by_set(F.col("lang"), F.col("phoneme")).alias("is_vowel"),
         "resonance", "z_f1", "z_f2", "z_f3", "f1", "f2", "f3",
     )
-    group = [*keys, "vowel", "is_vowel"]
+    group = [*keys, *([] if "lang" in keys else ["lang"]), "vowel"]
     metrics = {m: F.col(m) for m in ("resonance", "z_f1", "z_f2", "z_f3", "f1", "f2", "f3")}
     med = medians(rows, group, metrics, counts=True).where(F.col("resonance_n") >= min_tokens)
     return med.select(
-        *group,
+        *keys, "vowel", S.is_vowel_label(F.col("lang"), F.col("vowel")).alias("is_vowel"),
         F.col("resonance_n").alias("n"),
         F.round("resonance", 3).alias("resonance_med"),
         *[F.round(f"z_f{i}", 3).alias(f"z_f{i}_med") for i in (1, 2, 3)],

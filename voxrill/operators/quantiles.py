@@ -34,7 +34,10 @@ _SMALLEST = 1e-6
 
 
 def _bucket(v: Column) -> Column:
-    return (F.signum(v) * F.floor(F.log2(F.lit(1.0) + F.abs(v) / _SMALLEST) * _PER_OCTAVE)).cast("long")
+    b = F.signum(v) * F.floor(F.log2(F.lit(1.0) + F.abs(v) / _SMALLEST) * _PER_OCTAVE)
+    # Never NULL for a known value; saying so keeps the planner from adding
+    # IS NOT NULL filters that would make the two readers of a shuffle differ.
+    return F.coalesce(b.cast("long"), F.lit(0))
 
 
 def _positions(rule: str, p: float, n: Column) -> tuple[Column, Column, Column]:
@@ -59,30 +62,30 @@ def _covers(rank: Column, start: Column, size: Column) -> Column:
 
 def _ranked(
     df: DataFrame, keys: list[str], values: Mapping[str, Column], probs: Sequence[float], rule: str
-) -> tuple[DataFrame, list[str]]:
-    """Distinct values of the buckets that hold a wanted rank, with first rank and count."""
-    if len(values) == 1:
-        ((name, col),) = values.items()
-        rows = df.select(*keys, F.lit(name).alias("metric"), (col.cast("double") + F.lit(0.0)).alias("_v"))
+) -> DataFrame:
+    """Distinct values of the buckets that hold a wanted rank, with first rank and count.
+
+    The group travels as one struct ``_g`` (the keys and, for several metrics,
+    the metric's number ``_m``): NULL keys compare equal inside a struct, so one
+    plain equi join and one hash partitioning serve every key type.
+    """
+    cols = [c.cast("double") + F.lit(0.0) for c in values.values()]  # + 0.0 folds -0.0 into 0.0
+    if len(cols) == 1:
+        rows = df.select(F.struct(*keys, F.lit(0).alias("_m")).alias("_g"), cols[0].alias("_v"))
     else:
-        each = [F.struct(F.lit(m).alias("m"), (c.cast("double") + F.lit(0.0)).alias("v")) for m, c in values.items()]
-        rows = df.select(*keys, F.explode(F.array(*each)).alias("_m")).select(
-            *keys, F.col("_m.m").alias("metric"), F.col("_m.v").alias("_v")
-        )
-    # The + 0.0 above folds -0.0 into 0.0, so both count as one value.
-    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v")).select("*", _bucket(F.col("_v")).alias("_b"))
+        rows = df.select(*keys, F.posexplode(F.array(*cols)).alias("_m", "_v")).select(F.struct(*keys, "_m").alias("_g"), "_v")
+    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
-    group = [*keys, "metric"]
-    counts = rows.groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")).select("*", _bucket(F.col("_v")).alias("_b"))
+    # One shuffle by bucket feeds both the bucket totals and the value ranking.
+    counts = counts.repartition("_g", "_b")
 
-    by_bucket = Window.partitionBy(*group).orderBy("_b")
+    by_bucket = Window.partitionBy("_g").orderBy("_b")
     buckets = (
-        counts.groupBy(*group, "_b")
+        counts.groupBy("_g", "_b")
         .agg(F.sum("_c").alias("_bc"))
         .select(
-            *[F.col(g).alias(f"_k{i}") for i, g in enumerate(group)],
-            F.col("_b").alias("_wb"),
-            "_bc",
+            "_g", "_b", "_bc",
             (F.sum("_bc").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bc")).alias("_off"),
             F.sum("_bc").over(by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"),
         )
@@ -93,16 +96,10 @@ def _ranked(
         hit = hit | _covers(lo, F.col("_off"), F.col("_bc")) | _covers(hi, F.col("_off"), F.col("_bc"))
     wanted = buckets.where(hit).drop("_bc")
 
-    # Null-safe on every column: no IS NOT NULL filter is inferred, so both uses
-    # of ``counts`` keep the same plan and share one exchange.
-    on = F.col("_b").eqNullSafe(F.col("_wb"))
-    for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"_k{i}"))
-    within = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.join(wanted, on).select(
-        *group, "_v", "_c", "_n", (F.col("_off") + F.sum("_c").over(within) - F.col("_c")).alias("_start")
+    within = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(wanted, ["_g", "_b"]).select(
+        "_g", "_v", "_c", "_n", (F.col("_off") + F.sum("_c").over(within) - F.col("_c")).alias("_start")
     )
-    return ranked, group
 
 
 def _picks(probs: Sequence[float], rule: str, mine: Column, tag: str) -> tuple[list[Column], list[Column]]:
@@ -131,9 +128,11 @@ def quantile_long(
 
     A (group, metric) without any value has no row.
     """
-    ranked, group = _ranked(df, list(keys), values, probs, rule)
+    names = list(values)
     aggs, out = _picks(probs, rule, F.lit(True), "")
-    return ranked.groupBy(*group).agg(*aggs).select(*group, F.col("_n").alias("n"), F.array(*out).alias("q"))
+    metric = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_g._m") + 1)
+    found = _ranked(df, list(keys), values, probs, rule).groupBy("_g").agg(*aggs)
+    return found.select(*[F.col(f"_g.{k}").alias(k) for k in keys], metric.alias("metric"), F.col("_n").alias("n"), F.array(*out).alias("q"))
 
 
 def quantiles(
@@ -150,15 +149,25 @@ def quantiles(
     extra ``<metric>_n`` column gives the number of values used.
     """
     keys, ps = list(keys), list(probs.values())
-    ranked, _ = _ranked(df, keys, values, ps, rule)
+    ranked = _ranked(df, keys, values, ps, rule)
     aggs, cols = [], []
-    for m in values:
-        more, out = _picks(ps, rule, F.col("metric") == m, f"_{m}")
+    for i, m in enumerate(values):
+        mine = F.col("_g._m") == i if len(values) > 1 else F.lit(True)
+        more, out = _picks(ps, rule, mine, f"_{m}")
         aggs += more
         cols += [c.alias(f"{m}{suffix}") for c, suffix in zip(out, probs)]
         if counts:
             cols.append(F.coalesce(F.col(f"_n_{m}"), F.lit(0)).cast("long").alias(f"{m}_n"))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *cols)
+    return ranked.groupBy(*[F.col(f"_g.{k}").alias(k) for k in keys]).agg(*aggs).select(*keys, *cols)
+
+
+def shared(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spread ``df`` by all of ``columns`` so that several aggregates read one shuffle.
+
+    Hashing values as well as keys keeps a hot key spread out.  The readers must
+    use the same columns, without a filter of their own, to share the exchange.
+    """
+    return df.repartition(*[F.col(c) for c in columns])
 
 
 def medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], counts: bool = False) -> DataFrame:

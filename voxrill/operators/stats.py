@@ -11,32 +11,30 @@ from voxrill.operators.phones import FORMANTS
 from voxrill.operators.quantiles import quantile_long
 
 
-def _unpivot(phones: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(i).alias("formant"), F.col(f).cast("double").alias("value")) for i, f in enumerate(FORMANTS)])
-    return phones.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.formant", "_c.value")
-
-
 def moments(phones: DataFrame, keys: Sequence[str], min_obs: int, guard: bool = True) -> DataFrame:
-    """Count, mean and sample deviation per (keys, formant), without the median.
+    """Count, mean, sample deviation and range per (keys, formant), without the median.
 
-    This is what scoring needs; one map-side-combined aggregate.  With ``guard``
-    a label is kept only if F1 and F2 both have enough values.
+    This is what scoring needs: one map-side-combined aggregate with the four
+    formants side by side, turned into rows afterwards.  With ``guard`` a label
+    is kept only if F1 and F2 both have enough values, and its other formants
+    are filled; without it each formant stands alone.
     """
-    cells = (
-        _unpivot(phones, keys).where(F.col("value").isNotNull()).groupBy(*keys, "formant")
-        .agg(
-            F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stdev"),
-            F.max("value").alias("max"), F.min("value").alias("min"),
-        )
-        .where(F.col("n") >= min_obs)
-    )
+    aggs = []
+    for i, f in enumerate(FORMANTS):
+        c = F.col(f)
+        aggs.append(F.struct(
+            F.lit(i).alias("formant"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("stdev"),
+            F.max(c).alias("max"), F.min(c).alias("min"),
+        ).alias(f"_{f}"))
+    wide = phones.groupBy(*keys).agg(*aggs)
+    if guard:
+        wide = wide.where((F.col("_f1.n") >= min_obs) & (F.col("_f2.n") >= min_obs))
+    cells = wide.select(*keys, F.explode(F.array(*[f"_{f}" for f in FORMANTS])).alias("_c")).select(*keys, "_c.*")
     if not guard:
-        return cells
-    has = cells.groupBy(*keys).agg(F.count_if(F.col("formant").isin(1, 2)).alias("_h")).where("_h = 2").drop("_h")
-    slots = has.select(*keys, F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("formant"))
-    joined = slots.join(cells, [*keys, "formant"], "left")
-    fill = {"n": 0, "mean": 0.0, "stdev": 1.0, "max": 0.0, "min": 0.0}
-    return joined.fillna(fill)
+        return cells.where(F.col("n") >= min_obs)
+    enough = F.col("n") >= min_obs
+    filled = {"n": F.lit(0), "mean": F.lit(0.0), "stdev": F.lit(1.0), "max": F.lit(0.0), "min": F.lit(0.0)}
+    return cells.select(*keys, "formant", *[F.when(enough, F.col(c)).otherwise(v).alias(c) for c, v in filled.items()])
 
 
 def train(phones: DataFrame, keys: Sequence[str], min_obs: int = 200) -> DataFrame:

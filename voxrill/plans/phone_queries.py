@@ -203,7 +203,7 @@ def vowels(spark, d):
 SELECT recording_id, vowel, is_vowel, n, resonance_med, z_f1_med, z_f2_med, z_f3_med, f1_med_hz, f2_med_hz, f3_med_hz FROM vowel_v
 """)
 def per_vowel(spark, d):
-    return vowels(spark, d).drop("speaker_id", "sex", "language", "lang").orderBy("recording_id", F.desc("n"), "vowel")
+    return P.per_vowel(scored(spark, d), ["recording_id"]).orderBy("recording_id", F.desc("n"), "vowel")
 
 
 @query("median_of_medians", "A8", ("vowel_v", "summary_v"), f"""
