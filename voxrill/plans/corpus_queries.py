@@ -211,12 +211,11 @@ def han_text(spark, d):
 
 
 @query("lexicon_filter", "F3", (), """
-SELECT conv_id, turn, CASE WHEN length(k) >= 4 THEN md5(k) END AS kept FROM (
-  SELECT conv_id, turn, array_to_string(list_filter(string_split(text, ''), lambda c: list_contains((SELECT list(DISTINCT c) FROM (SELECT unnest(string_split(lower(n_name), '')) AS c FROM nation)), c)), '') AS k
-  FROM conversations)
+SELECT conv_id, turn, CASE WHEN length(k) >= 4 THEN md5(k) END AS kept FROM (SELECT conv_id, turn, regexp_replace(text, '[^' || l || ']', '', 'g') AS k
+  FROM conversations, (SELECT string_agg(DISTINCT c, '' ORDER BY c) AS l FROM (SELECT unnest(regexp_extract_all(lower(n_name), '[a-z]')) AS c FROM nation)))
 """)
 def lexicon_filter(spark, d):
     """Keep the characters that occur in the lexicon (here: letters of nation names)."""
-    chars = A.table(spark, d, "nation").select(F.explode(F.split(F.lower("n_name"), "")).alias("c")).where("c <> ''")
+    chars = A.table(spark, d, "nation").select(F.explode(F.split(F.lower("n_name"), "")).alias("c")).where("c RLIKE '[a-z]'")
     lexicon = chars.agg(F.array_join(F.collect_set("c"), "").alias("l")).scalar()
     return turns(spark, d).select("conv_id", "turn", F.md5(T.keep_in_lexicon(F.col("text"), lexicon, 4)).alias("kept"))
