@@ -45,7 +45,7 @@ def event_replay(spark, d):
 
 view("states_v", """
 SELECT task_id, coalesce(arg_min(CASE type WHEN 'result' THEN 'SUCCESS' ELSE 'FAILURE' END, ts) FILTER (type IN ('result', 'error')),
-    arg_max(CASE type WHEN 'queue' THEN 'PENDING' ELSE 'STARTED' END, ts)) AS state, epoch_ms(max(ts)) AS last_ms, count(*) AS events FROM progress_v GROUP BY task_id
+    arg_max(CASE type WHEN 'queue' THEN 'PENDING' ELSE 'STARTED' END, ts)) AS state, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS events FROM progress_v GROUP BY task_id
 """, ("progress_v",))
 
 

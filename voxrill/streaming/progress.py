@@ -127,4 +127,4 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).option("basePath", out).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/epoch=*")
