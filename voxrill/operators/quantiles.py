@@ -76,16 +76,24 @@ def _ranked(
         rows = df.select(*keys, F.posexplode(F.array(*cols)).alias("_m", "_v")).select(F.struct(*keys, "_m").alias("_g"), "_v")
     rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
-    counts = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")).select("*", _bucket(F.col("_v")).alias("_b"))
+    # The hash leads every sort below, so rows are radix-sorted on a long instead
+    # of compared field by field; the group itself still decides equality.
+    counts = rows.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c")).select(
+        F.xxhash64("_g").alias("_h"), "*", _bucket(F.col("_v")).alias("_b")
+    )
     # One shuffle by bucket feeds both the bucket totals and the value ranking.
-    counts = counts.repartition("_g", "_b")
+    at = ["_h", "_b", "_g"]
+    counts = counts.repartition(*at)
 
-    by_bucket = Window.partitionBy("_g").orderBy("_b")
+    by_bucket = Window.partitionBy("_h", "_g").orderBy("_b")
     buckets = (
-        counts.groupBy("_g", "_b")
-        .agg(F.sum("_c").alias("_bc"))
+        counts.groupBy(*at)
+        .agg(
+            F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_nd"),
+            F.min("_v").alias("_v0"), F.max("_v").alias("_v1"), F.min_by("_c", "_v").alias("_c0"),
+        )
         .select(
-            "_g", "_b", "_bc",
+            "*",
             (F.sum("_bc").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bc")).alias("_off"),
             F.sum("_bc").over(by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"),
         )
@@ -94,12 +102,23 @@ def _ranked(
     for p in probs:
         lo, hi, _ = _positions(rule, p, F.col("_n"))
         hit = hit | _covers(lo, F.col("_off"), F.col("_bc")) | _covers(hi, F.col("_off"), F.col("_bc"))
-    wanted = buckets.where(hit).drop("_bc")
-
-    within = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.join(wanted, ["_g", "_b"]).select(
+    buckets = buckets.where(hit)
+
+    # A bucket with one or two distinct values is already ranked by its totals;
+    # only fuller ones (large groups) need their values ordered.
+    two = F.when(F.col("_nd") == 2, F.struct(F.col("_v1").alias("v"), (F.col("_bc") - F.col("_c0")).alias("c"), (F.col("_off") + F.col("_c0")).alias("s")))
+    one = F.struct(F.col("_v0").alias("v"), F.col("_c0").alias("c"), F.col("_off").alias("s"))
+    simple = buckets.where("_nd <= 2").select("_g", "_n", F.explode(F.array_compact(F.array(one, two))).alias("_x"))
+    simple = simple.select("_g", F.col("_x.v").alias("_v"), F.col("_x.c").alias("_c"), "_n", F.col("_x.s").alias("_start"))
+
+    # The bounds and the first count are asked for too (always true) so that this
+    # reader has the same columns as the other one and shares its shuffles.
+    wanted = buckets.where("_nd > 2 AND _v0 <= _v1 AND _c0 > 0").select(*at, "_off", "_n")
+    within = Window.partitionBy(*at).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    full = counts.join(wanted, at).select(
         "_g", "_v", "_c", "_n", (F.col("_off") + F.sum("_c").over(within) - F.col("_c")).alias("_start")
     )
+    return simple.unionByName(full)
 
 
 def _picks(probs: Sequence[float], rule: str, mine: Column, tag: str) -> tuple[list[Column], list[Column]]:

@@ -6,8 +6,9 @@ recording is processed block by block (see ``ordered``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,59 +190,75 @@ def cell_weight(char: Column) -> Column:
     return F.when(F.coalesce(char, F.lit("")) == "", 0).when(single, 1).otherwise(F.greatest(F.lit(2), F.least(F.lit(10), size))).cast("int")
 
 
-def _fill(weights, budget: int, carry: int) -> tuple[list[int], int]:
-    """Pages opened before each cell, and the weight of the last page, from a carried page weight."""
-    opened, pages = [], 0
-    for w in weights:
-        if carry and carry + w > budget:
-            pages, carry = pages + 1, 0
-        carry += w
-        opened.append(pages)
-    return opened, carry
-
-
 def weight_pages(cells: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, budget: int) -> DataFrame:
     """Number the pages of a greedy packing: a page closes before the cell that would overflow it.
 
     The packing of a block depends on the past only through the weight already
     on the open page, a whole number up to the larger of budget and one cell.
-    Each block is summarised for every such weight, the summaries are chained
-    per recording, and each block is then numbered from its true carry.
+    Each block is summarised for every such weight, the summaries (one row per
+    block) are chained along each recording, and each block is then numbered
+    from its true carry.  All three passes stream over sorted partitions and
+    hold one row of state, never a whole group.
     """
     most = max(budget, 10)
     rows = cells.where(F.col("weight") > 0).select("*", block.alias("_blk"))
     names = [*keys, "_blk"]
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
-
-    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = pdf.sort_values(list(order))["weight"].tolist()
-        ends = [_fill(weights, budget, c) for c in range(most + 1)]
-        head = {k: pdf[k].iloc[0] for k in names}
-        return pd.DataFrame([{**head, "ends": [e for _, e in ends], "pages": [o[-1] for o, _ in ends]}])
-
-    effects = rows.select(*names, *order, "weight").groupBy(*names).applyInPandas(
-        effect, f"{key_schema}, ends array<int>, pages array<int>"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk")
-        carry, page, out = 0, 0, []
-        for ends, pages in zip(pdf["ends"], pdf["pages"]):
-            out.append((carry, page))
-            carry, page = int(ends[carry]), page + int(pages[carry])
-        return pdf[names].assign(carry=[c for c, _ in out], page0=[p for _, p in out])
 
-    entry = effects.groupBy(*keys).applyInPandas(chain, f"{key_schema}, carry int, page0 long")
-
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_blk") + ", page long"
+    def ddl(df: DataFrame, *, drop=()) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in drop)
+
+    def sorted_by(df: DataFrame, part: Sequence[str], then: Sequence[str]) -> DataFrame:
+        return df.repartition(*[F.col(c) for c in part]).sortWithinPartitions(*part, *then)
+
+    def effect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ends, pages = None, None, None
+        for b in batches:
+            done = []
+            for key, w in zip(b[names].itertuples(index=False, name=None), b["weight"].to_numpy()):
+                if key != at:
+                    if at is not None:
+                        done.append((*at, ends, pages))
+                    at, ends, pages = key, np.arange(most + 1), np.zeros(most + 1, dtype=np.int64)
+                over = (ends > 0) & (ends + w > budget)
+                ends, pages = np.where(over, w, ends + w), pages + over
+            yield pd.DataFrame(done, columns=[*names, "ends", "pages"])
+        if at is not None:
+            yield pd.DataFrame([(*at, ends, pages)], columns=[*names, "ends", "pages"])
+
+    slim = rows.select(*names, *order, "weight")
+    shape = ddl(slim.select(*names))
+    effects = sorted_by(slim, names, order).mapInPandas(effect, f"{shape}, ends array<bigint>, pages array<bigint>")
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, carry, page = None, 0, 0
+        for b in batches:
+            out = []
+            for key, ends, pages in zip(b[names].itertuples(index=False, name=None), b["ends"], b["pages"]):
+                if key[:-1] != at:
+                    at, carry, page = key[:-1], 0, 0
+                out.append((*key, carry, page))
+                carry, page = int(ends[carry]), page + int(pages[carry])
+            yield pd.DataFrame(out, columns=[*names, "carry", "page0"])
+
+    entry = sorted_by(effects, keys, ["_blk"]).mapInPandas(chain, f"{shape}, carry bigint, page0 bigint")
+
+    joined = rows.join(entry, names)
     keep = [c for c in rows.columns if c != "_blk"]
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        opened, _ = _fill(pdf["weight"].tolist(), budget, int(pdf["carry"].iloc[0]))
-        return pdf[keep].assign(page=[int(pdf["page0"].iloc[0]) + o for o in opened])
-
-    return rows.join(entry, names).groupBy(*names).applyInPandas(number, out_schema)
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, carry, page = None, 0, 0
+        for b in batches:
+            out = []
+            for key, w, c0, p0 in zip(b[names].itertuples(index=False, name=None), b["weight"], b["carry"], b["page0"]):
+                if key != at:
+                    at, carry, page = key, c0, p0
+                if carry and carry + w > budget:
+                    page, carry = page + 1, 0
+                carry += w
+                out.append(page)
+            yield b[keep].assign(page=out)
+
+    return sorted_by(joined, names, order).mapInPandas(number, f"{ddl(rows, drop=('_blk',))}, page bigint")
 
 
 # --- chunk planning -------------------------------------------------------------------------
