@@ -238,6 +238,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), score).otherwise(F.lit(0.0))
 
 
+def jaccard_sets(a: Column, b: Column) -> Column:
+    """``jaccard`` for arrays known to hold distinct, at least one, elements: one array operation."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
 def token_count(lang: Column, text: Column) -> Column:
     """Han characters (zh), Hangul syllables (ko), whitespace tokens otherwise."""
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))

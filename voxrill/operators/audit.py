@@ -25,9 +25,9 @@ def bucket_percentiles(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if(r >= D.AT_CEILING).alias("n_at_ceiling"), F.count_if("low_quality").alias("n_low_align"),
         F.avg(r).alias("mean"), F.when(F.count(r) > 1, F.stddev_pop(r)).alias("std"),
     )
-    q = quantiles(sessions, keys, {"": r}, PCTS)
-    f0 = medians(sessions, keys, {"f0_p50": F.col("median_pitch")})
-    return base.join(q, list(keys), "left").join(f0, list(keys), "left")
+    # One pass ranks both metrics; of the pitch only the median is kept.
+    q = quantiles(sessions, keys, {"": r, "f0_": F.col("median_pitch")}, PCTS)
+    return base.join(q.drop(*[f"f0_{p}" for p in PCTS if p != "p50"]), list(keys), "left")
 
 
 def vowel_pool(vowels: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from voxrill.plans import adapters as A
 from voxrill.plans import phone_queries as PQ
 from voxrill.plans.phone_queries import r6
 from voxrill.plans.registry import query, view
+from voxrill.session import cut_lineage
 
 G, K, SEED = 10, 5, "cv"
 
@@ -44,7 +45,7 @@ def who(spark, d):
 
 def candidate_scores(spark, d):
     s = FT.score_candidates(utterance_z(spark, d), "recording_id", FT.simplex_grid(spark, G))
-    return s.join(who(spark, d), "recording_id")
+    return cut_lineage(s.join(who(spark, d), "recording_id"))
 
 
 @query("candidate_scores", "J10 D4", ("cand_v",), "SELECT recording_id, cand, round(score, 6) AS score FROM cand_v")
@@ -152,7 +153,7 @@ FROM (SELECT quantile_cont(score, 0.5) FILTER (sex = 'M') AS median_m, quantile_
   (SELECT max(acc) AS acc FROM (SELECT avg(CASE WHEN (score >= i * 0.001::DOUBLE) = (sex = 'F') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS acc FROM spk_v, (SELECT unnest(range(0, 1001)) AS i) GROUP BY i))
 """)
 def holdout_report(spark, d):
-    s = P.recording_summary(PQ.scored(spark, d), PQ.RECORDING).select("speaker_id", "sex", F.col("mean_resonance").alias("score"))
+    s = PQ.summaries(spark, d).select("speaker_id", "sex", F.col("mean_resonance").alias("score"))
     return FT.holdout_report(s, []).select("speakers_m", "speakers_f", "passed", *r6("median_m", "median_f", "delta", "acc"))
 
 
@@ -165,6 +166,7 @@ JOIN (SELECT cand, max(acc) AS acc FROM (SELECT cand, i, avg(CASE WHEN (score >=
 def weight_pairs(spark, d):
     pairs = FT.simplex_grid(spark, G).where(F.col("cand").isin(110, 77, 55))
     s = FT.score_candidates(utterance_z(spark, d), "recording_id", pairs).join(who(spark, d), "recording_id")
+    s = cut_lineage(s)
     return FT.holdout_report(s, ["cand"]).select("cand", *r6("median_m", "median_f", "delta", "acc"))
 
 
@@ -172,7 +174,7 @@ def weight_pairs(spark, d):
 
 
 def sessions(spark, d):
-    s = P.recording_summary(PQ.scored(spark, d), PQ.RECORDING)
+    s = PQ.summaries(spark, d)
     return s.withColumn("low_quality", F.col("n_phones") % 3 == 0)
 
 
@@ -230,8 +232,7 @@ view("audit_v", "SELECT sex, count(*) AS n, avg(med) AS mean, " + ", ".join(
 
 
 def speakers(spark, d):
-    s = P.recording_summary(PQ.scored(spark, d), PQ.RECORDING)
-    return AU.speaker_medians(s, ["speaker_id", "sex"], "median_resonance")
+    return cut_lineage(AU.speaker_medians(PQ.summaries(spark, d), ["speaker_id", "sex"], "median_resonance"))
 
 
 PCT_COLS = list(AU.PCTS)

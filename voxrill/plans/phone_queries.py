@@ -12,6 +12,7 @@ from voxrill.operators import stats as ST
 from voxrill.operators.quantiles import quantiles
 from voxrill.plans import adapters as A
 from voxrill.plans.registry import query, view
+from voxrill.session import cut_lineage
 
 # Fewest observations for a label to be scored in the demonstration data.
 SCORE_MIN_OBS = 30
@@ -162,6 +163,11 @@ def zscore_scores(spark, d):
     return scored(spark, d).select("recording_id", "phoneme", "expected", *r6("f1", "z_f0", "z_f1", "z_f2", "z_f3", "resonance"))
 
 
+def summaries(spark, d):
+    """One row per recording, written once: small next to the phones and read several times."""
+    return cut_lineage(P.recording_summary(scored(spark, d), RECORDING))
+
+
 view("summary_v", """
 SELECT recording_id, speaker_id, sex, language, lang, count(*) AS n_phones, count(p) AS n_pitch, count(r) AS n_score, avg(p) AS mean_pitch,
   stddev_samp(p) AS stdev_pitch, quantile_cont(p, 0.5) AS median_pitch, avg(r) AS mean_resonance,
@@ -196,7 +202,8 @@ FROM scored_v WHERE resonance IS NOT NULL GROUP BY ALL HAVING count(*) >= 2
 
 
 def vowels(spark, d):
-    return P.per_vowel(scored(spark, d), RECORDING)
+    """Per-vowel rows of every recording, written once: they are few and read several times."""
+    return cut_lineage(P.per_vowel(scored(spark, d), RECORDING))
 
 
 @query("per_vowel", "A7 T8", ("vowel_v",), """
@@ -214,7 +221,7 @@ FROM summary_v s LEFT JOIN vowel_v v ON s.recording_id = v.recording_id GROUP BY
 """)
 def median_of_medians(spark, d):
     sc = scored(spark, d)
-    v = P.per_vowel(sc, RECORDING)
+    v = cut_lineage(P.per_vowel(sc, RECORDING))
     flat = P.recording_summary(sc, ["recording_id"]).select("recording_id", "median_resonance")
     zone = quantiles(
         v, ["recording_id"],

@@ -129,7 +129,7 @@ SELECT session_id, CASE WHEN median_pitch > 0 THEN round(median_pitch, 1) ELSE m
 FROM panel_v LEFT JOIN summary_v ON session_id = recording_id
 """)
 def preferred_median(spark, d):
-    rec = P.recording_summary(PQ.scored(spark, d), ["recording_id"]).select(F.col("recording_id").alias("session_id"), "median_pitch")
+    rec = PQ.summaries(spark, d).select(F.col("recording_id").alias("session_id"), "median_pitch")
     return SE.prefer_recording_median(SE.frame_panel(frames(spark, d), SESSION), rec, SESSION, "median_pitch")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,14 +41,21 @@ def local_session(app: str = "voxrill", cores: int | str = "*", partitions: int
     return configure(spark)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder.
+
+    A private temporary folder is used only where the session names none (local tests).
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{base or tempfile.mkdtemp(prefix='voxrill-')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's reliable checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``; a private temporary folder
-    is used only where the session names none (local tests).
+    For a small result that is costly to make and read several times: it is
+    computed once, survives lost executors, and readers still prune columns.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="voxrill-ckpt-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = shared_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

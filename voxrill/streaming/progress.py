@@ -6,9 +6,6 @@ alike; the functions that start a stream say so.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxrill.schemas import PROGRESS
+from voxrill.session import shared_folder
 
 # --- fixed values: event retention --------------------------------------------------
 EVENTS_TTL_S = 600
@@ -25,12 +23,6 @@ EVENTS_KEPT = 100
 STATE_OF_TYPE = {"queue": "PENDING", "progress": "STARTED", "result": "SUCCESS", "error": "FAILURE"}
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for checkpoints and sinks, below the cluster's shared checkpoint folder if it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"voxrill-{name}-{uuid.uuid4().hex[:12]}")
-
-
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
     """Progress events arriving as JSON-lines files."""
     return spark.readStream.schema(PROGRESS).json(path)
