@@ -12,7 +12,7 @@ from voxrill.operators import phones as P
 from voxrill.operators.quantiles import quantiles
 from voxrill.plans import adapters as A
 from voxrill.plans import phone_queries as PQ
-from voxrill.plans.phone_queries import r6
+from voxrill.plans.phone_queries import r3, r6
 from voxrill.plans.registry import query, view
 from voxrill.session import cut_lineage
 
@@ -319,11 +319,11 @@ SELECT recording_id AS file, ['cis_female', 'cis_male', 'neutral'][recording_id
 """, ("timeline_v",))
 
 
-@query("category_margins", "A30", ("cat_v",), "SELECT category, count(DISTINCT file) AS files, count(margin) AS segs, round(avg(margin), 6) AS mean, " + ", ".join(
+@query("category_margins", "A30", ("cat_v",), "SELECT category, count(DISTINCT file) AS files, count(margin) AS segs, round(avg(margin), 3) AS mean, " + ", ".join(
     f"round(quantile_cont(margin, {p}), 6) AS {n}" for n, p in {**AU.PCTS, "p10": 0.1, "p90": 0.9}.items()) + " FROM cat_v GROUP BY category")
 def category_margins(spark, d):
     m = AU.margin_percentiles(category_segments(spark, d), ["category"])
-    return m.select("category", "files", "segs", *r6("mean", *PCT_COLS, "p10", "p90"))
+    return m.select("category", "files", "segs", *r3("mean"), *r6(*PCT_COLS, "p10", "p90"))
 
 
 @query("category_accuracy", "A30", ("cat_v",), """
@@ -346,31 +346,31 @@ def minority_ratio(spark, d):
 
 @query("file_detail", "A30", ("cat_v",), """
 SELECT category, file, count(*) AS segs, count(*) FILTER (label = 'female') AS n_female, count(*) FILTER (label = 'male') AS n_male,
-  round(sum(margin * duration) / nullif(sum(duration), 0), 6) AS mean_margin, round(min(margin), 6) AS min_margin,
+  round(sum(margin * duration) / nullif(sum(duration), 0), 4) AS mean_margin, round(min(margin), 6) AS min_margin,
   round(avg(CASE WHEN truth <> 'neutral' THEN CASE WHEN label = truth THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END), 6) AS accuracy FROM cat_v GROUP BY category, file
 """)
 def file_detail(spark, d):
     f = AU.file_detail(category_segments(spark, d), ["category"])
-    return f.select("category", "file", "segs", "n_female", "n_male", *r6("mean_margin", "min_margin", "accuracy"))
+    return f.select("category", "file", "segs", "n_female", "n_male", F.round("mean_margin", 4).alias("mean_margin"), *r6("min_margin", "accuracy"))
 
 
 @query("variant_stats", "A31", ("cat_v",), """
-SELECT category, variant, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) FILTER (v BETWEEN 0.4 AND 0.7) AS n_mid, round(min(v), 6) AS low, round(max(v), 6) AS high
+SELECT category, variant, count(v) AS n, round(avg(v), 3) AS mean, round(stddev_pop(v), 6) AS std, count(*) FILTER (v BETWEEN 0.4 AND 0.7) AS n_mid, round(min(v), 6) AS low, round(max(v), 6) AS high
 FROM (SELECT category, 'old' AS variant, margin AS v FROM cat_v UNION ALL SELECT category, 't2', margin * 0.8 FROM cat_v) GROUP BY ALL
 """)
 def variant_stats(spark, d):
     v = AU.variant_stats(category_segments(spark, d), ["category"], {"old": F.col("margin"), "t2": F.col("margin") * 0.8})
-    return v.select("category", "variant", "n", "n_mid", *r6("mean", "std", "low", "high"))
+    return v.select("category", "variant", "n", "n_mid", *r3("mean"), *r6("std", "low", "high"))
 
 
 @query("extreme_files", "T7", ("cat_v",), """
-SELECT category, arg_min(file, struct_pack(m, f := file)) AS lowest, round(min(m), 6) AS lowest_value, arg_max(file, struct_pack(m, f := file)) AS highest, round(max(m), 6) AS highest_value
+SELECT category, arg_min(file, struct_pack(m, f := file)) AS lowest, round(min(m), 3) AS lowest_value, arg_max(file, struct_pack(m, f := file)) AS highest, round(max(m), 3) AS highest_value
 FROM (SELECT category, file, avg(margin) AS m FROM cat_v GROUP BY ALL) GROUP BY category
 """)
 def extreme_files(spark, d):
     f = category_segments(spark, d).groupBy("category", "file").agg(F.avg("margin").alias("m"))
     e = AU.extreme_files(f, ["category"], "m")
-    return e.select("category", "lowest", "highest", *r6("lowest_value", "highest_value"))
+    return e.select("category", "lowest", "highest", *r3("lowest_value", "highest_value"))
 
 
 @query("variant_checks", "J20", ("summary_v",), """

@@ -22,6 +22,11 @@ def r6(*cols: str):
     return [F.round(F.col(c), 6).alias(c) for c in cols]
 
 
+def r3(*cols: str):
+    """Means of short decimals: few enough digits that a mean rarely falls on a rounding boundary."""
+    return [F.round(F.col(c), 3).alias(c) for c in cols]
+
+
 def keyed(spark: SparkSession, d: str) -> DataFrame:
     """Phones with the label replaced by its statistics key."""
     p = A.phones(spark, d)
@@ -129,23 +134,23 @@ PITCH_ZONE_SQL = "CASE WHEN {v} IS NULL THEN NULL " + " ".join(f"WHEN {{v}} < {u
 
 
 @query("train_stats", "A1", ("train_v",), """
-SELECT lang, phoneme, formant, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(stdev, 6) AS stdev,
+SELECT lang, phoneme, formant, CAST(n AS BIGINT) AS n, round(mean, 3) AS mean, round(stdev, 3) AS stdev,
   round(median, 6) AS median, round(max, 6) AS max, round(min, 6) AS min FROM train_v
 """)
 def train_stats(spark, d):
     s = ST.train(keyed(spark, d), ["lang", "phoneme"])
-    return s.select("lang", "phoneme", "formant", "n", *r6("mean", "stdev", "median", "max", "min"))
+    return s.select("lang", "phoneme", "formant", "n", *r3("mean", "stdev"), *r6("median", "max", "min"))
 
 
 @query("complete_case_stats", "A2 P6", ("key_v",), """
-SELECT lang, phoneme, formant, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stdev,
+SELECT lang, phoneme, formant, count(*) AS n, round(avg(v), 3) AS mean, round(stddev_samp(v), 3) AS stdev,
   round(quantile_cont(v, 0.5), 6) AS median, round(max(v), 6) AS max, round(min(v), 6) AS min
 FROM (SELECT lang, pkey AS phoneme, unnest([0, 1, 2, 3]) AS formant, unnest([f0, f1, f2, f3]) AS v FROM key_v
       WHERE f0 <> 0 AND f1 <> 0 AND f2 <> 0 AND f3 <> 0) GROUP BY ALL HAVING count(*) >= 2
 """)
 def complete_case_stats(spark, d):
     s = ST.train_complete(keyed(spark, d), ["lang", "phoneme"])
-    return s.select("lang", "phoneme", "formant", "n", *r6("mean", "stdev", "median", "max", "min"))
+    return s.select("lang", "phoneme", "formant", "n", *r3("mean", "stdev"), *r6("median", "max", "min"))
 
 
 @query("outlier_flags", "A3", ("outlier_v",), """
@@ -390,10 +395,10 @@ def aligned(spark, d):
 
 
 @query("stats_alignment", "J9 U2", ("aligned_v",), """
-SELECT phoneme, formant, presence, round(mean_old, 6) AS mean_old, round(mean_new, 6) AS mean_new FROM aligned_v
+SELECT phoneme, formant, presence, round(mean_old, 3) AS mean_old, round(mean_new, 3) AS mean_new FROM aligned_v
 """)
 def stats_alignment(spark, d):
-    return aligned(spark, d).select("phoneme", "formant", "presence", *r6("mean_old", "mean_new"))
+    return aligned(spark, d).select("phoneme", "formant", "presence", *r3("mean_old", "mean_new"))
 
 
 @query("stats_drift", "A32", ("aligned_v",), """
@@ -437,23 +442,23 @@ def top_drift(spark, d):
 
 
 @query("canary_check", "J19", ("aligned_v",), """
-SELECT phoneme, round(mean_old, 6) AS mean_old, round(mean_new, 6) AS mean_new, round(mean_new - mean_old, 6) AS delta
+SELECT phoneme, round(mean_old, 3) AS mean_old, round(mean_new, 3) AS mean_new, round(mean_new - mean_old, 3) AS delta
 FROM aligned_v WHERE presence = 'common' AND formant = 2 AND phoneme IN ('i', 'y', 'e')
 """)
 def canary_check(spark, d):
     a = aligned(spark, d).where("presence = 'common' AND formant = 2")
     canary = spark.createDataFrame([(v,) for v in D.CANARY_VOWELS], "phoneme string")
     return a.join(canary, "phoneme", "left_semi").select(
-        "phoneme", *r6("mean_old", "mean_new"), F.round(F.col("mean_new") - F.col("mean_old"), 6).alias("delta")
+        "phoneme", *r3("mean_old", "mean_new"), F.round(F.col("mean_new") - F.col("mean_old"), 3).alias("delta")
     )
 
 
 @query("stats_json", "K1 S4", ("train_v",), """
-SELECT lang, phoneme, formant, round(mean, 6) AS mean, round(stdev, 6) AS stdev FROM train_v
+SELECT lang, phoneme, formant, round(mean, 3) AS mean, round(stdev, 3) AS stdev FROM train_v
 """)
 def stats_json(spark, d):
     """Write form (one JSON object per language) read back into the long form."""
     from voxrill.sources.readers import explode_stats
 
     s = ST.train(keyed(spark, d), ["lang", "phoneme"])
-    return explode_stats(ST.nested_json(s, ["lang"]), "json", ["lang"]).select("lang", "phoneme", "formant", *r6("mean", "stdev"))
+    return explode_stats(ST.nested_json(s, ["lang"]), "json", ["lang"]).select("lang", "phoneme", "formant", *r3("mean", "stdev"))

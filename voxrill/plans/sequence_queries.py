@@ -103,23 +103,23 @@ def cells(spark, d):
 
 
 @query("char_groups", "W2 W3", ("cells2_v",), """
-SELECT recording_id, CAST(cell AS BIGINT) AS cell, char, phones, round(start, 6) AS start, round("end", 6) AS "end", round(pitch, 6) AS pitch, round(score, 6) AS score FROM cells2_v
+SELECT recording_id, CAST(cell AS BIGINT) AS cell, char, phones, round(start, 6) AS start, round("end", 6) AS "end", round(pitch, 4) AS pitch, round(score, 4) AS score FROM cells2_v
 """)
 def char_groups(spark, d):
-    return cells(spark, d).select("recording_id", F.col("cell").cast("long").alias("cell"), "char", "phones", *r6("start", "end", "pitch", "score"))
+    return cells(spark, d).select("recording_id", F.col("cell").cast("long").alias("cell"), "char", "phones", *r6("start", "end"), F.round("pitch", 4).alias("pitch"), F.round("score", 4).alias("score"))
 
 
 @query("gap_fill", "W4", ("cells2_v",), """
 SELECT recording_id, CAST(cell AS BIGINT) AS cell, round(CASE WHEN char = '' THEN NULL WHEN pitch IS NOT NULL THEN pitch
   WHEN p IS NOT NULL AND n IS NOT NULL THEN p.pitch + (n.pitch - p.pitch) * CASE WHEN n.start - p.e > 0 THEN greatest(0, least(1, (start - p.e) / (n.start - p.e))) ELSE 0.5 END
-  WHEN p IS NOT NULL THEN p.pitch ELSE n.pitch END, 6) AS pitch_filled
+  WHEN p IS NOT NULL THEN p.pitch ELSE n.pitch END, 4) AS pitch_filled
 FROM (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY cell ROWS UNBOUNDED PRECEDING) AS p,
     first_value(v IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY cell ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n
   FROM (SELECT *, CASE WHEN char <> '' AND pitch IS NOT NULL THEN struct_pack(pitch := pitch, start := start, e := "end") END AS v FROM cells2_v))
 """)
 def gap_fill(spark, d):
     out = Q.fill_pitch(cells(spark, d), REC, ["cell"], _block("start"))
-    return out.select("recording_id", F.col("cell").cast("long").alias("cell"), *r6("pitch_filled"))
+    return out.select("recording_id", F.col("cell").cast("long").alias("cell"), F.round("pitch_filled", 4).alias("pitch_filled"))
 
 
 @query("run_merge", "W5", ("ends_v",), """

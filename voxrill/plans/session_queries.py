@@ -67,14 +67,14 @@ def session_summary(spark, d):
 
 
 @query("weighted_confidence", "A10", ("session_v",), """
-SELECT session_id, round(c_all, 6) AS voiced, round(c_f, 6) AS female, round(c_m, 6) AS male FROM session_v
+SELECT session_id, round(c_all, 4) AS voiced, round(c_f, 4) AS female, round(c_m, 4) AS male FROM session_v
 """)
 def weighted_confidence(spark, d):
     c, w, label = F.col("confidence"), F.col("duration_s"), F.col("label")
     return segs(spark, d).groupBy("session_id").agg(
-        F.round(SE.weighted(c, w, label.isin("female", "male")), 6).alias("voiced"),
-        F.round(SE.weighted(c, w, label == "female"), 6).alias("female"),
-        F.round(SE.weighted(c, w, label == "male"), 6).alias("male"),
+        F.round(SE.weighted(c, w, label.isin("female", "male")), 4).alias("voiced"),
+        F.round(SE.weighted(c, w, label == "female"), 4).alias("female"),
+        F.round(SE.weighted(c, w, label == "male"), 4).alias("male"),
     )
 
 
@@ -88,13 +88,13 @@ def label_ratio(spark, d):
 
 
 @query("confidence_distribution", "A13", ("seg_v",), """
-SELECT session_id, count(*) AS n, round(avg(confidence), 6) AS mean, round(stddev_pop(confidence), 6) AS std,
+SELECT session_id, count(*) AS n, round(avg(confidence), 3) AS mean, round(stddev_pop(confidence), 6) AS std,
   count(*) FILTER (confidence > 0.9) AS high, count(*) FILTER (confidence < 0.1) AS low,
   round(quantile_cont(confidence, 0.1), 6) AS c_p10, round(quantile_cont(confidence, 0.5), 6) AS c_p50, round(quantile_cont(confidence, 0.9), 6) AS c_p90
 FROM seg_v WHERE label IN ('female', 'male') AND confidence IS NOT NULL GROUP BY session_id
 """)
 def confidence_distribution(spark, d):
-    return SE.confidence_distribution(segs(spark, d), SESSION).select("session_id", "n", "high", "low", *r6("mean", "std", "c_p10", "c_p50", "c_p90"))
+    return SE.confidence_distribution(segs(spark, d), SESSION).select("session_id", "n", "high", "low", F.round("mean", 3).alias("mean"), *r6("std", "c_p10", "c_p50", "c_p90"))
 
 
 # --- pitch frames --------------------------------------------------------------------

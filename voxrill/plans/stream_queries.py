@@ -104,7 +104,7 @@ def stream_queue_waits(spark, d):
 
 
 @query("stream_ingest_stats", "R5 A1", ("progress_v",), """
-SELECT type AS phoneme, 1 AS formant, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stdev FROM progress_v GROUP BY type
+SELECT type AS phoneme, 1 AS formant, count(value) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 4) AS stdev FROM progress_v GROUP BY type
 """)
 def stream_ingest_stats(spark, d):
     """Observations ingested once through a stream, then statistics over the store."""
@@ -115,4 +115,4 @@ def stream_ingest_stats(spark, d):
     none = F.lit(None).cast("double")
     o = o.withColumn("f0", none).withColumn("f2", none).withColumn("f3", none)
     m = ST.moments(o, ["phoneme"], 1, guard=False)
-    return m.select("phoneme", "formant", "n", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"))
+    return m.select("phoneme", "formant", "n", F.round("mean", 2).alias("mean"), F.round("stdev", 4).alias("stdev"))
