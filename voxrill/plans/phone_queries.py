@@ -402,13 +402,13 @@ def stats_alignment(spark, d):
 
 
 @query("stats_drift", "A32", ("aligned_v",), """
-SELECT phoneme, formant, round(mean_new - mean_old, 6) AS delta, round(abs(mean_new - mean_old) / (CASE WHEN stdev_old = 0 THEN 1 ELSE stdev_old END), 6) AS shift,
+SELECT phoneme, formant, round(mean_new - mean_old, 3) AS delta, round(abs(mean_new - mean_old) / (CASE WHEN stdev_old = 0 THEN 1 ELSE stdev_old END), 6) AS shift,
   round(CASE WHEN stdev_old > 0 THEN stdev_new / stdev_old END, 6) AS growth, coalesce(stdev_old > 0 AND stdev_new / stdev_old > 1.0, false) AS blow_up
 FROM aligned_v WHERE presence = 'common'
 """)
 def stats_drift(spark, d):
     return ST.drift(aligned(spark, d)).select(
-        "phoneme", "formant", *r6("delta", "shift", "growth"), F.coalesce(F.col("growth") > 1.0, F.lit(False)).alias("blow_up")
+        "phoneme", "formant", *r3("delta"), *r6("shift", "growth"), F.coalesce(F.col("growth") > 1.0, F.lit(False)).alias("blow_up")
     )
 
 
