@@ -42,12 +42,18 @@ def local_session(app: str = "voxrill", cores: int | str = "*", partitions: int
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the shared folder that ``spark.checkpoint.dir`` names.
 
-    A private temporary folder is used only where the session names none (local tests).
+    Where the session names none, a private folder serves a single-machine session; on a cluster
+    that would lose data silently, so it is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or tempfile.mkdtemp(prefix='voxrill-')}/{name}-{uuid.uuid4().hex[:12]}"
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="voxrill-")
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
