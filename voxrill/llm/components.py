@@ -1,4 +1,8 @@
-"""Connected components of a link table by alternating star steps."""
+"""Connected components of a link table by alternating star steps.
+
+A hot node is aggregated before its rows move, and the table of least neighbours is dealt anew after
+aggregation: a join whose sides both come from an exchange can be split where a key is hot.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from voxrill.session import cut_lineage
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest node of its neighbourhood."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    low = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")).hint("rebalance")
     return (
         both.join(low, "a").where("b > a")
         .select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
@@ -20,7 +24,7 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, moves to the smallest of them. Needs a > b."""
-    low = links.groupBy("a").agg(F.min("b").alias("least"))
+    low = links.groupBy("a").agg(F.min("b").alias("least")).hint("rebalance")
     moved = links.join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(low.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
 
