@@ -35,9 +35,9 @@ def wrap(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def given(names: list[str]) -> list[Column]:
-    """The columns of a wrapped row."""
-    return [F.col("_given").getField(c).alias(c) for c in names]
+def given(names: list[str], as_input: bool = False) -> list[Column]:
+    """The columns of a wrapped row; as the input of a Python function under neutral names."""
+    return [F.col("_given").getField(c).alias(f"_c{i}" if as_input else c) for i, c in enumerate(names)]
 
 
 def partitions(spark: SparkSession) -> int:

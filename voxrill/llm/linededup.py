@@ -80,6 +80,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, keep: str, id
     found = cut_lineage(text.mapInArrow(common.by_batch(suspects), f"_row long, _id {id_type}, digest binary"))
     first = F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     counted = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(first).alias("first")).where(F.col("n") >= min_docs)
+    counted = counted.hint("rebalance")  # dealt anew, so that the join can split a hot line
     mine = F.lit(keep == "first") & (F.col("first.row") == F.col("_row"))
     return (
         found.join(counted.select("digest", "first"), "digest")
@@ -134,7 +135,7 @@ def drop_lines(
         columns[at] = pa.array([old.as_py() if new is None else new.decode("utf-8", "replace") for old, new in zip(columns[at], texts)], pa.string())
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*common.given(names), "_body", "drop", "own").mapInArrow(common.by_batch(apply), docs.schema)
+    return joined.select(*common.given(names, True), "_body", "drop", "own").mapInArrow(common.by_batch(apply), docs.schema)
 
 
 def line_digests(docs: DataFrame, min_docs: int, min_chars: int, keep: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

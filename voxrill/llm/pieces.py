@@ -29,7 +29,7 @@ from voxrill.llm.registry import query
 
 SPACE = "▁"
 #: Stretches and token pairs that a task remembers before it begins to forget.
-CACHE = 300_000
+CACHE = 500_000
 NEVER = float("-inf")
 
 
@@ -51,9 +51,11 @@ class Coder:
         self.decimal = [str(i) for i in range(n)]
         # A mark inserted before the text, and runs of marks, come from the model's settings.
         self.dummy = lib.encode("a", out_type=str)[0].startswith(SPACE)
+        self.sizes = [len(p) for p in self.pieces]
+        self.start = n  # stands for the start of a text in the pair memory
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, (len(p), i))
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.letters = {c for p in self.ids for c in p}
         self.cuts = self._cuts()
@@ -128,26 +130,25 @@ class Coder:
         That fails if a symbol at the end of the first and one at the start of the second meet and
         make a piece before a merge on their own side takes one of them away.
         """
-        key = left << 32 | right
-        ends, starts = self._formed(left)[0], self._formed(right)[1]
+        ok = self._formed(right)[2] if left == self.start else self._stay_apart(self._formed(left)[0], self._formed(right)[1])
+        if len(self._pairs) >= CACHE:
+            self._pairs.clear()
+        self._pairs[left * (self.start + 1) + right] = ok
+        return ok
+
+    def _stay_apart(self, ends: list, starts: list) -> bool:
         i = j = 0
-        ok = True
         while True:
             (x, x_until), (y, y_until) = ends[i], starts[j]
             across = self.ids.get(x + y)
             if across is not None and self.scores[across] > x_until and self.scores[across] >= y_until:
-                ok = False
-                break
+                return False
             if x_until >= y_until:
                 if x_until == NEVER:
-                    break
+                    return True
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) >= CACHE:
-            self._pairs.clear()
-        self._pairs[key] = ok
-        return ok
 
     def _known(self, text: str, out: list[int]) -> None:
         """Append the ids of a text of which every letter is a piece."""
@@ -156,23 +157,21 @@ class Coder:
         if whole is not None and self._formed(whole)[2]:
             out.append(whole)
             return
-        last, begin, pairs, forms = [-1] * (n + 1), [0] * (n + 1), self._pairs, self._formed
-        for end, (size, token) in self.automaton.iter(text):
+        last, begin = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = self.start
+        pairs, sizes, radix = self._pairs, self.sizes, self.start + 1
+        for end, token in self.automaton.iter(text):
             end += 1
             if last[end] >= 0:
                 continue  # the last token of a prefix is unique
-            at = end - size
-            if at:
-                before = last[at]
-                if before < 0:
-                    continue
-                ok = pairs.get(before << 32 | token)
+            at = end - sizes[token]
+            before = last[at]
+            if before >= 0:
+                ok = pairs.get(before * radix + token)
                 if ok is None:
                     ok = self._compatible(before, token)
-            else:
-                ok = forms(token)[2]
-            if ok:
-                last[end], begin[end] = token, at
+                if ok:
+                    last[end], begin[end] = token, at
         found, at = [], n
         while at:
             found.append(last[at])

@@ -299,7 +299,7 @@ def drop_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     joined = _with_runs(docs, window, id_col, text_col)
-    return joined.select(*common.given(names), "_body", "runs").mapInArrow(common.by_batch(apply), docs.schema)
+    return joined.select(*common.given(names, True), "_body", "runs").mapInArrow(common.by_batch(apply), docs.schema)
 
 
 def repeat_digests(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
