@@ -39,11 +39,12 @@ def filter_bits(expected: int, most: int = MAX_BITS) -> int:
     return min(most, 1 << (int(want) - 1).bit_length())
 
 
-def _places(hashes: np.ndarray) -> list[np.ndarray]:
+def _places(hashes: np.ndarray) -> Iterator[np.ndarray]:
     """The PROBES bit positions inside the slice of each hash."""
     mask = np.uint64(SLICE_BITS - 1)
     first, step = hashes & mask, (hashes >> np.uint64(20)) | np.uint64(1)
-    return [((first + np.uint64(i) * step) & mask).astype(np.int64) for i in range(PROBES)]
+    for i in range(PROBES):
+        yield ((first + np.uint64(i) * step) & mask).astype(np.int64)
 
 
 def slice_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -88,7 +89,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield done()
                 current, once, twice = which, np.zeros(SLICE_BITS, bool), np.zeros(SLICE_BITS, bool)
             hashes = np.frombuffer(packed, np.uint64)
-            places = _places(hashes)
+            places = list(_places(hashes))
             before = np.logical_and.reduce([once[p] for p in places])
             before |= np.unpackbits(np.frombuffer(again, np.uint8), count=len(hashes)).astype(bool)
             for p in places:
@@ -108,11 +109,14 @@ class Pair:
 
     def _has(self, bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         base = slice_of(hashes, self.bits).astype(np.int64) * SLICE_BITS
-        hit = np.ones(len(hashes), np.uint8)
+        at = np.arange(len(hashes))
         for p in _places(hashes):
-            p += base
-            hit &= bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)
-        return hit.astype(bool)
+            # Each probe looks only at what the ones before it have left.
+            p = p[at] + base[at]
+            at = at[((bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(bool)]
+        out = np.zeros(len(hashes), bool)
+        out[at] = True
+        return out
 
     def seen(self, hashes: np.ndarray) -> np.ndarray:
         return self._has(self.once, hashes)
@@ -121,21 +125,27 @@ class Pair:
         return self._has(self.twice, hashes)
 
 
-def build(packed: DataFrame, bits: int) -> Broadcast:
-    """Fold rows of PACKED into the two filters and broadcast them (2 * bits / 8 bytes at most)."""
+def build(packed: DataFrame, bits: int, twice: bool = True) -> Broadcast:
+    """Fold rows of PACKED into the filters and broadcast them (2 * bits / 8 bytes at most).
+
+    Readers that ask only for ``seen`` leave the second one out.
+    """
     spark = packed.sparkSession
     n = min(partitions(spark), bits // SLICE_BITS)
     slices = (
         packed.repartition(n, "slice").sortWithinPartitions("slice")
         .mapInArrow(_fold, "slice int, once binary, twice binary")
     )
-    once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    pair = Pair(bits, np.zeros(bits // 8, np.uint8), np.zeros(bits // 8 if twice else 0, np.uint8))
     step = SLICE_BITS // 8
+    if not twice:
+        slices = slices.drop("twice")
     for row in slices.collect():  # as many bytes as the bound allows, whatever the corpus
         at = row["slice"] * step
-        once[at:at + step] = np.frombuffer(row["once"], np.uint8)
-        twice[at:at + step] = np.frombuffer(row["twice"], np.uint8)
-    return spark.sparkContext.broadcast(Pair(bits, once, twice))
+        pair.once[at:at + step] = np.frombuffer(row["once"], np.uint8)
+        if twice:
+            pair.twice[at:at + step] = np.frombuffer(row["twice"], np.uint8)
+    return spark.sparkContext.broadcast(pair)
 
 
 def expected_units(df: DataFrame, units) -> int:

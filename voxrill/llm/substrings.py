@@ -76,8 +76,10 @@ class Words:
         lo, hi = self.starts[: self.n - size + 1], self.ends[size - 1:]
         return common.mix64((sums[hi] - sums[lo]) * back[lo])
 
-    def digest(self, at: int, size: int) -> bytes:
-        return xxhash.xxh3_128_digest(self.joined[self.starts[at]:self.ends[at + size - 1]])
+    def digests(self, at: np.ndarray, size: int) -> bytes:
+        """The 128-bit digests of the runs of ``size`` words that begin at the given words."""
+        d, text = xxhash.xxh3_128_digest, self.joined
+        return b"".join([d(text[a:b]) for a, b in zip(self.starts[at].tolist(), self.ends[at + size - 1].tolist())])
 
 
 def _crossings(h: np.ndarray, pair: bloom.Pair, block: int) -> np.ndarray:
@@ -94,26 +96,28 @@ def _covering(anchors: np.ndarray, block: int, n_windows: int) -> np.ndarray:
     return np.flatnonzero(seen[np.minimum(at + block, len(anchors))] > seen[at])
 
 
-_RECORD = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("doc", "<i4"), ("at", "<i4")])
-_SHIPPED = pa.schema([("bucket", pa.int32()), ("records", pa.binary()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64()))])
+_SHIPPED = pa.schema([
+    ("bucket", pa.int32()), ("digests", pa.binary()), ("counts", pa.binary()), ("steps", pa.binary()),
+    ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())),
+])
+_SHIPPED_SQL = "bucket int, digests binary, counts binary, steps binary, rows array<long>, ids array<long>"
 _REMOVED = pa.schema([("_row", pa.int64()), ("runs", pa.binary())])
 
 
-def _first_of_each(records: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Sorted by digest and place; the mask of those that are the earliest of their digest.
+def _earliest(hi: np.ndarray, lo: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by digest, then place; and which, in that order, share the first place of their digest.
 
-    ``order`` numbers the rows' places in the corpus; rows that repeat each other share a number.
+    ``place`` numbers windows in the order of the corpus; rows that repeat each other share numbers.
     """
-    hi, lo = records["hi"], records["lo"]
-    new = np.ones(len(records), bool)
-    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    by = np.lexsort((place, hi))
+    new = np.ones(len(by), bool)
+    new[1:] = hi[by][1:] != hi[by][:-1]
+    same = ~new[1:] & (lo[by][1:] != lo[by][:-1])
+    if same.any():  # two digests share their first half: sort by both
+        by = np.lexsort((place, lo, hi))
+        new[1:] = (hi[by][1:] != hi[by][:-1]) | (lo[by][1:] != lo[by][:-1])
     group = np.cumsum(new) - 1
-    head = np.flatnonzero(new)[group]
-    return (order[head] == order) & (records["at"][head] == records["at"])
-
-
-def _sorted(records: np.ndarray, order: np.ndarray) -> np.ndarray:
-    return np.lexsort((records["at"], order, records["lo"], records["hi"]))
+    return by, place[by][np.flatnonzero(new)[group]] == place[by]
 
 
 def _runs(rows: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[int, bytes]]:
@@ -168,13 +172,16 @@ def repeated_runs(docs: DataFrame, window: int = 20, id_col: str = "doc_id", tex
             found.append(h[_crossings(h, index.value, block)])
         return bloom.pack(np.unique(np.concatenate(found)), bits) if found else None
 
-    met = bloom.build(text.select("_body").mapInArrow(common.by_batch(probes), bloom.PACKED), bits)
+    met = bloom.build(text.select("_body").mapInArrow(common.by_batch(probes), bloom.PACKED), bits, twice=False)
     n_buckets = max(1, common.partitions(spark), words // BUCKET)
 
     def windows(batch: pa.RecordBatch):
-        docs_at, places, digests = [], [], []
-        for k, raw in enumerate(batch.column(2)):
-            w = Words(raw.as_py())
+        row_hash = np.asarray(batch.column(0))
+        ids, known = _doc_ids(batch.column(1))
+        order = _places(ids, known, row_hash)
+        doc, at, digests, least = [], [], [], []
+        for k in np.argsort(order, kind="stable").tolist():
+            w = Words(batch.column(2)[k].as_py())
             if w.n < window:
                 continue
             h = w.hashes(block)
@@ -182,81 +189,83 @@ def repeated_runs(docs: DataFrame, window: int = 20, id_col: str = "doc_id", tex
             anchors[::block] |= met.value.seen(h[::block])
             found = _covering(anchors, block, w.n - window + 1)
             if len(found):
-                docs_at.append(np.full(len(found), k, np.int32))
-                places.append(found.astype(np.int32))
-                digests.append(b"".join([w.digest(p, window) for p in found.tolist()]))
-        if not docs_at:
+                doc.append(np.full(len(found), k, np.int64))
+                at.append(found)
+                digests.append(w.digests(found, window))
+                # The least block hash of a window picks its bucket: neighbours mostly share it, equal windows always.
+                least.append(np.lib.stride_tricks.sliding_window_view(h, window - block + 1)[found].min(1))
+        if not doc:
             return
-        records = np.empty(sum(map(len, places)), _RECORD)
         both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-        records["hi"], records["lo"] = both[:, 0], both[:, 1]
-        records["doc"], records["at"] = np.concatenate(docs_at), np.concatenate(places)
-        rows = np.asarray(batch.column(0))
-        ids, known = _doc_ids(batch.column(1))
-        order = _places(ids, known, rows)[records["doc"]]
-        by = _sorted(records, order)
-        records, order = records[by], order[by]
-        first = _first_of_each(records, order)
-        later = records[~first]
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        # Windows that come later than one of this batch are decided; they travel with their row only.
-        for row, packed in _runs(rows[later["doc"]], later["at"], window):
-            for x, v in zip(out, ((row % n_buckets), packed, [row], None)):
+        hi, lo, doc, at, least = both[:, 0], both[:, 1], np.concatenate(doc), np.concatenate(at), np.concatenate(least)
+        place = order[doc] << 32 | at
+        by, first = _earliest(hi, lo, place)
+        out: tuple[list, ...] = tuple([] for _ in _SHIPPED)
+
+        def ship(*values):
+            for x, v in zip(out, values):
                 x.append(v)
-        # Of repeated rows one speaks for all: runs are kept by row hash.
-        records = records[first]
-        records = records[np.concatenate(([True], (records["hi"][1:] != records["hi"][:-1]) | (records["lo"][1:] != records["lo"][:-1])))] if len(records) else records
-        where = (common.mix64(records["hi"]) % np.uint64(n_buckets)).astype(np.int64)
-        by = np.argsort(where, kind="stable")
-        records, where = records[by], where[by]
+
+        # Windows that come later than one of this batch are decided; they travel with their row only.
+        later = by[~first]
+        for row, packed in _runs(row_hash[doc[later]], at[later], window):
+            ship(row % n_buckets, packed, b"", b"", [row], None)
+        # Of rows that repeat each other one speaks for all, since runs are kept by the hash of the row.
+        stay = np.zeros(len(doc), bool)
+        stay[by[first]] = True
+        kept = np.flatnonzero(stay)
+        kept = kept[np.concatenate(([True], place[kept][1:] != place[kept][:-1]))]
+        where = (common.mix64(least[kept]) % np.uint64(n_buckets)).astype(np.int64)
+        kept, where = kept[np.argsort(where, kind="stable")], np.sort(where, kind="stable")
         edges = np.flatnonzero(np.diff(where)) + 1
-        for lo, hi in zip([0, *edges], [*edges, len(where)]):
-            if lo == hi:
+        for lo_at, hi_at in zip([0, *edges], [*edges, len(where)]):
+            part = kept[lo_at:hi_at]
+            if not len(part):
                 continue
-            part = records[lo:hi].copy()
-            used, part["doc"] = np.unique(part["doc"], return_inverse=True)
-            for x, v in zip(out, (int(where[lo]), part.tobytes(), rows[used].tolist(), [int(i) if k else None for i, k in zip(ids[used], known[used])])):
-                x.append(v)
+            # In the order of documents and words, so that all but the digests packs well.
+            turn = np.concatenate(([0], np.flatnonzero(np.diff(doc[part])) + 1))
+            used = doc[part[turn]]
+            ship(
+                int(where[lo_at]), both[part].tobytes(), np.diff(np.append(turn, len(part))).astype("<i4").tobytes(),
+                np.diff(at[part], prepend=0).astype("<i4").tobytes(), row_hash[used].tolist(), [int(i) if k else None for i, k in zip(ids[used], known[used])],
+            )
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _SHIPPED)], schema=_SHIPPED)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compare the windows of one bucket after the other."""
-        bucket, parts, tables, rows_seen = None, [], [], 0
+        bucket, held, n_docs = None, [], 0
 
         def removed(pairs) -> pa.RecordBatch:
             pairs = list(pairs)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.binary())], schema=_REMOVED)
 
         def settle():
-            records = np.concatenate(parts)
-            rows = np.concatenate([t[0] for t in tables])
-            ids, known = np.concatenate([t[1] for t in tables]), np.concatenate([t[2] for t in tables])
-            order = _places(ids, known, rows)[records["doc"]]
-            by = _sorted(records, order)
-            later = records[by][~_first_of_each(records[by], order[by])]
-            return removed(_runs(rows[later["doc"]], later["at"], window))
+            digests, doc, at, rows, ids, known = (np.concatenate(x) for x in zip(*held))
+            by, first = _earliest(digests[:, 0], digests[:, 1], _places(ids, known, rows)[doc] << 32 | at)
+            later = by[~first]
+            return removed(_runs(rows[doc[later]], at[later], window))
 
         for batch in batches:
             passed = []
-            for b, raw, rows, ids in zip(*(batch.column(i) for i in range(4))):
+            for b, digests, counts, steps, rows, ids in zip(*batch.columns):
                 if not ids.is_valid:
-                    passed.append((rows.values[0].as_py(), raw.as_py()))
+                    passed.append((rows.values[0].as_py(), digests.as_py()))
                     continue
                 if b.as_py() != bucket:
-                    if parts:
+                    if held:
                         yield settle()
-                    bucket, parts, tables, rows_seen = b.as_py(), [], [], 0
-                part = np.frombuffer(raw.as_py(), _RECORD).copy()
-                part["doc"] += rows_seen
-                parts.append(part)
-                tables.append((np.asarray(rows.values), *_doc_ids(ids.values)))
-                rows_seen += len(tables[-1][0])
+                    bucket, held, n_docs = b.as_py(), [], 0
+                row_hash = np.asarray(rows.values)
+                doc = np.repeat(np.arange(len(row_hash)) + n_docs, np.frombuffer(counts.as_py(), "<i4"))
+                at = np.cumsum(np.frombuffer(steps.as_py(), "<i4"), dtype=np.int64)
+                held.append((np.frombuffer(digests.as_py(), "<u8").reshape(-1, 2), doc, at, row_hash, *_doc_ids(ids.values)))
+                n_docs += len(row_hash)
             if passed:
                 yield removed(passed)
-        if parts:
+        if held:
             yield settle()
 
-    shipped = text.mapInArrow(common.by_batch(windows), "bucket int, records binary, rows array<long>, ids array<long>")
+    shipped = text.mapInArrow(common.by_batch(windows), _SHIPPED_SQL)
     found = shipped.repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(decide, "_row long, runs binary")
     return found.groupBy("_row").agg(F.collect_list("runs").alias("runs"))
 
