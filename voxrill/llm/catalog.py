@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxrill.llm import archive, fingerprints, linededup, mixing, neighbours, pieces, registry, simhash, substrings  # noqa: F401
+from voxrill.llm import archive, fingerprints, linededup, mixing, neighbours, pieces, registry, simhash, substrings, toxicity  # noqa: F401
 
 QUERIES = registry.QUERIES
 CHECK_SQL = registry.CHECK_SQL
