@@ -89,3 +89,31 @@ def test_keep_one(spark):
     assert sorted(k for k in kept if k[0] is not None) == [(1, "y"), (9, "v")]
     assert len(kept) == 3
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_similar_texts(spark):
+    """Pairs with a similarity of 0.8 or more of five-word shingles; others stay apart."""
+    rng = random.Random(8)
+    rows, near = [], 0
+    for i in range(150):
+        words = ["w%d" % rng.randrange(5000) for _ in range(rng.randrange(120, 400))]
+        rows.append((2 * i, " ".join(words)))
+        edited = list(words)
+        for _ in range(max(1, len(words) // 150)):
+            edited[rng.randrange(len(words))] = "edit%d" % rng.randrange(10**6)
+        runs = [{tuple(x[k:k + 5]) for k in range(len(x) - 4)} for x in (words, edited)]
+        near += len(runs[0] & runs[1]) / len(runs[0] | runs[1]) >= 0.8
+        rows.append((2 * i + 1, " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert {2 * i for i in range(150)} <= kept
+    assert len(kept) - 150 <= 150 - 0.97 * near
+
+
+def test_chunks_give_the_same_components(spark):
+    """A bucket dealt into chunks, in both forms of the operator."""
+    texts = near_texts(80, seed=9) + ["lone text number %d of some words here" % i for i in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for similar, radius in ((True, 14), (False, 2)):
+        a, b = (sorted(r.doc_id for r in simhash.keep_one(df, 5, radius, similar, chunk=c).collect()) for c in (simhash.CHUNK, 8))
+        assert a == b

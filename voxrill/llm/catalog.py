@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from voxrill.llm import archive, fingerprints, linededup, mixing, neighbours, pieces, registry, simhash, substrings, toxicity  # noqa: F401
+from voxrill.llm import (  # noqa: F401
+    archive, fingerprints, linededup, mixing, neighbours, pieces, quality, registry, simhash, substrings, toxicity,
+)
 
 QUERIES = registry.QUERIES
 CHECK_SQL = registry.CHECK_SQL

@@ -19,6 +19,7 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -309,30 +310,35 @@ def decode_column(spark: SparkSession, ids: Column, model_path: str) -> Column:
     return decode(ids)
 
 
-def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens with the end id, and SHA-256 of the ids and of the decoded text.
+def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: id, n_tokens with the end id, and SHA-256 of the ids and of the decoded text; the ids too, if asked.
 
-    Encodes and decodes in one pass, so ids never leave the task.
+    Encodes and decodes in one pass over the texts.
     """
     model = _model(docs.sparkSession, model_path)
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def per_batch(batch: pa.RecordBatch):
         c = coder(model.value)
-        decimal = c.decimal
-        n, first, second = [], [], []
-        for raw in batch.column(1):
-            ids = c.encode(raw.as_py().decode("utf-8", "replace"))
-            ids.append(c.end_id)
-            n.append(len(ids))
-            first.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-            second.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-        )
+        # Bounded pieces of a batch, so that the ids of few texts are held at a time.
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            every, first, second = [], [], []
+            for raw in part.column(1):
+                ids = c.encode(raw.as_py().decode("utf-8", "replace"))
+                ids.append(c.end_id)
+                first.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
+                second.append(hashlib.sha256(c.decode(ids).encode("utf-8")).hexdigest())
+                every.append(np.array(ids, np.int32) if with_ids else len(ids))
+            columns = {id_col: part.column(0), "n_tokens": pa.array([len(i) for i in every] if with_ids else every, pa.int64())}
+            columns |= {"ids_sha256": pa.array(first), "decoded_sha256": pa.array(second)}
+            if with_ids:
+                columns["ids"] = pa.array(every, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.select(F.col(id_col), common.body(docs, text_col).alias("body")).mapInArrow(
-        common.by_batch(per_batch), f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        common.by_batch(per_batch),
+        f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""),
     )
 
 

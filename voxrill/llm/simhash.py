@@ -56,11 +56,8 @@ def shingle_hashes(text: bytes, size: int, lower: bool = True) -> np.ndarray:
     return np.array([h(joined[a:b], 42) for a, b in zip(starts, ends)], np.uint64)
 
 
-def fingerprint(text: bytes, size: int, lower: bool = True) -> int:
-    """The bits that are set in over half of the shingle hashes; zero without words."""
-    h = shingle_hashes(text, size, lower)
-    if not len(h):
-        return 0
+def _majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero without any."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 1 << 16):  # bounded memory for long texts
         part = h[at:at + (1 << 16)]
@@ -68,6 +65,11 @@ def fingerprint(text: bytes, size: int, lower: bool = True) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, size: int, lower: bool = True) -> int:
+    """The bits that are set in over half of the shingle hashes; zero without words."""
+    return _majority(shingle_hashes(text, size, lower))
+
+
 def fingerprints(wrapped: DataFrame, size: int = 5, lower: bool = True) -> DataFrame:
     """(_row, _id, fp): every wrapped row with its fingerprint as a signed long."""
 
@@ -152,89 +154,165 @@ def _join_up(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple
                 others = others[label[others] != label[i]]
 
 
-def _link_buckets(radius: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _bucket_links(nodes: np.ndarray, fps: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Links between the nodes of one bucket; side 1 marks the rows of a second chunk, if there is one."""
+    kinds, first, which = np.unique(fps, return_index=True, return_inverse=True)
+    speaks = nodes[first]  # the node that stands for a fingerprint
+    for a, b in zip(nodes.tolist(), speaks[which].tolist()):
+        if a != b:
+            yield a, b
+    if len(kinds) == 1:
+        return
+    of = dict(zip(kinds.tolist(), speaks.tolist()))
+    two = side.any() and not side.all()
+    left, right = (np.unique(fps[side == 0]), np.unique(fps[side == 1])) if two else (kinds, kinds)
+    for x, y in _join_up(left, right, radius):
+        yield of[x], of[y]
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
-    def link(left: pa.Table) -> pa.Table:
+def _columns(found: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())]
+
+
+def _in_chunks(radius: int):
+    def link(table: pa.Table) -> pa.Table:
         """One pair of chunks of a large bucket, or one chunk with itself."""
-        side = np.asarray(left.column("side"))
-        fps = np.asarray(left.column("fp")).view(np.uint64)
-        first = np.unique(fps[side == 0])
-        second = np.unique(fps[side == 1]) if (side == 1).any() else first
-        pairs = list(_join_up(first, second, radius))
-        a = np.array([p[0] for p in pairs], np.uint64).view(np.int64)
-        b = np.array([p[1] for p in pairs], np.uint64).view(np.int64)
-        return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket: whole buckets, each of at most CHUNK rows."""
-        held_keys, held = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def links(keys, fps) -> pa.RecordBatch:
+        node, fp, side = (np.asarray(table.column(c)) for c in ("node", "fp", "side"))
+        return pa.Table.from_arrays(_columns(list(_bucket_links(node, fp.view(np.uint64), side, radius))), schema=_LINKS)
+
+    return link
+
+
+def _in_order(radius: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket: whole buckets, each of at most a chunk's rows."""
+        held = [np.zeros(0, np.int64) for _ in range(3)]
+
+        def found(keys, nodes, fps) -> pa.RecordBatch:
             edges = np.flatnonzero(np.diff(keys)) + 1
-            found: list[tuple[int, int]] = []
+            out: list[tuple[int, int]] = []
             for lo, hi in zip([0, *edges], [*edges, len(keys)]):
-                if hi - lo == 2:
-                    if bin(int(fps[lo] ^ fps[lo + 1])).count("1") <= radius:
-                        found.append((int(fps[lo]), int(fps[lo + 1])))
-                elif hi - lo > 2:
-                    part = np.unique(fps[lo:hi])
-                    found.extend(_join_up(part, part, radius))
-            a = np.array([p[0] for p in found], np.uint64).view(np.int64)
-            b = np.array([p[1] for p in found], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+                if hi - lo > 1:
+                    out.extend(_bucket_links(nodes[lo:hi], fps[lo:hi].view(np.uint64), np.zeros(hi - lo, np.int32), radius))
+            return pa.RecordBatch.from_arrays(_columns(out), schema=_LINKS)
 
         for batch in batches:
-            keys = np.concatenate([held_keys, np.asarray(batch.column(0))])
-            fps = np.concatenate([held, np.asarray(batch.column(1)).view(np.uint64)])
-            if not len(keys):
+            held = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
+            if not len(held[0]):
                 continue
-            last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+            last = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next batch
             if last:
-                yield links(keys[:last], fps[:last])
-            held_keys, held = keys[last:], fps[last:]
-        if len(held_keys):
-            yield links(held_keys, held)
+                yield found(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield found(*held)
+
+    return link
+
+
+def band_buckets(fp: Column, radius: int) -> Column:
+    """Bucket keys that any two fingerprints within the radius share at least one of."""
+    return F.array(*[F.xxhash64(F.lit(k), *[_field(fp, at, width) for at, width in fields]) for k, fields in enumerate(_bands(radius))])
 
-    return link, small
 
+def links(kinds: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links between the nodes of ``kinds`` (node, fp, buckets) that share a bucket and lie within the radius.
 
-def links(distinct: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) with the components of all pairs within the radius."""
-    spark = distinct.sparkSession
-    keys = [
-        F.xxhash64(F.lit(k), *[_field(F.col("fp"), at, width) for at, width in fields]) for k, fields in enumerate(_bands(radius))
-    ]
-    sent = cut_lineage(distinct.select(F.explode(F.array(*keys)).alias("bucket"), "fp"))
+    They give the same components as all such pairs.
+    """
+    spark = kinds.sparkSession
+    sent = cut_lineage(kinds.select(F.explode("buckets").alias("bucket"), "node", "fp"))
     # Dealt anew, so that the joins below can split a hot bucket.
     sizes = sent.groupBy("bucket").count().where("count > 1").hint("rebalance")
-    link, small = _link_buckets(radius)
     # Buckets of one row, nearly all, end here.
     shared = sent.join(sizes.where(F.col("count") <= chunk).select("bucket"), "bucket", "left_semi")
     found = (
-        shared.select("bucket", "fp").repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(small, "a long, b long")
+        shared.select("bucket", "node", "fp").repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket")
+        .mapInArrow(_in_order(radius), "a long, b long")
     )
     # A large bucket: every pair of its chunks is a group of its own.
     large = sizes.where(F.col("count") > chunk).withColumn("chunks", F.ceil(2 * F.col("count") / F.lit(chunk)).cast("long"))
-    dealt = sent.join(large, "bucket").withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(1)), "chunks"))
+    dealt = sent.join(large, "bucket").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), "chunks"))
     pairs = dealt.select(
-        "bucket", "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
+        "bucket", "node", "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
     ).select(
-        "bucket", "fp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
+        "bucket", "node", "fp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"),
     )
-    return found.unionByName(pairs.groupBy("bucket", "low", "high").applyInArrow(link, "a long, b long"))
+    return found.unionByName(pairs.groupBy("bucket", "low", "high").applyInArrow(_in_chunks(radius), "a long, b long"))
+
+
+def _named(marked: DataFrame, node: str, kinds: DataFrame, radius: int, chunk: int) -> DataFrame:
+    """``marked`` with root (a node that names the component) and component_id; ``kinds``: (node, fp, buckets, least)."""
+    linked = components(links(kinds.select("node", "fp", "buckets"), radius, chunk)).withColumnRenamed("node", "_linked")
+    member = cut_lineage(kinds.join(linked, F.col("node") == F.col("_linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    least = member.groupBy("root").agg(F.min("least").alias("component_id")).hint("rebalance")
+    named = member.join(least, "root").select(F.col("node").alias(node), "root", "component_id")
+    return marked.join(named, node)
 
 
 def members(wrapped: DataFrame, size: int, radius: int, lower: bool, chunk: int) -> DataFrame:
-    """(_row, _id, fp, root, component_id) of wrapped rows; root names the component by a fingerprint."""
+    """(_row, _id, fp, root, component_id) of wrapped rows: all fingerprints within the radius are linked."""
     marked = cut_lineage(fingerprints(wrapped, size, lower))
     kinds = marked.groupBy("fp").agg(F.min("_id").alias("least"))
-    linked = components(links(kinds.select("fp"), radius, chunk))
-    member = cut_lineage(kinds.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id")).hint("rebalance")
-    return marked.join(member.join(least, "root").select("fp", "root", "component_id"), "fp")
+    return _named(marked, "fp", kinds.select(F.col("fp").alias("node"), "fp", band_buckets(F.col("fp"), radius).alias("buckets"), "least"), radius, chunk)
+
+
+#: Bins of a text's smallest shingle hashes, and the bands of them that bring similar texts together.
+BINS, BANDS, BAND_ROWS = 128, 20, 5
+_BORROW = (common.mix64(np.arange(1, BINS * 64 + 1, dtype=np.uint64)) % np.uint64(BINS)).astype(np.int64).reshape(64, BINS)
+_WEIGH = common.mix64(np.arange(1, BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def similar_buckets(h: np.ndarray) -> np.ndarray:
+    """Keys of which texts with a large share of common shingles have at least one in common.
+
+    The smallest hash of each of BINS bins, empty bins borrowing from full ones; each key takes in BAND_ROWS
+    bins. Texts with four fifths of their shingles in common share none of the BANDS keys once in 3 000 pairs.
+    """
+    least = np.full(BINS, 2**64 - 1, np.uint64)
+    order = np.argsort(h)[::-1]
+    least[(h[order] & np.uint64(BINS - 1)).astype(np.int64)] = h[order]
+    full = least != 2**64 - 1
+    out, empty = least.copy(), np.flatnonzero(~full)
+    for row in _BORROW:
+        if not len(empty):
+            break
+        found = full[row[empty]]
+        out[empty[found]] = least[row[empty[found]]]
+        empty = empty[~found]
+    out[empty] = least[full][0] if full.any() else 0
+    keys = (out[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS) * _WEIGH).sum(1, dtype=np.uint64)
+    return common.mix64(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def similar_members(wrapped: DataFrame, size: int, radius: int, chunk: int) -> DataFrame:
+    """(_row, _id, text_key, root, component_id): texts that share a bucket and lie within the radius are linked.
+
+    A radius that goes with a similarity of shingles well below 1 is too wide for bands of the fingerprint
+    itself; buckets come from the shingles then, and the fingerprints decide.
+    """
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, fps, buckets = [], [], []
+        for raw in batch.column(2):
+            text = raw.as_py()
+            h = shingle_hashes(text, size)
+            keys.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
+            fps.append(_majority(h))
+            buckets.append(similar_buckets(h))
+        signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(buckets, pa.list_(pa.int64()))], names=["_row", "_id", "text_key", "fp", "buckets"])
+
+    id_type = wrapped.schema["_id"].dataType.simpleString()
+    marked = cut_lineage(wrapped.select("_row", "_id", "_body").mapInArrow(
+        common.by_batch(per_batch), f"_row long, _id {id_type}, text_key long, fp long, buckets array<long>"
+    ))
+    kinds = marked.groupBy("text_key").agg(F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
+    return _named(marked.select("_row", "_id", "text_key"), "text_key", kinds.select(F.col("text_key").alias("node"), "fp", "buckets", "least"), radius, chunk)
 
 
 def clusters(docs: DataFrame, size: int = 5, radius: int = 2, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -243,10 +321,16 @@ def clusters(docs: DataFrame, size: int = 5, radius: int = 2, lower: bool = True
     return found.select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, radius: int = 2, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest id, null ids last, then of the least row hash."""
+def keep_one(
+    docs: DataFrame, size: int = 5, radius: int = 14, similar: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+) -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest id, null ids last, then of the least row hash.
+
+    As it stands, for shingles of five words with a similarity of 0.8 or more, at which 14 differing bits
+    are rarely passed. ``similar=False`` links all fingerprints within the radius, which must be small then.
+    """
     wrapped = common.wrap(docs, id_col, text_col)
-    found = members(wrapped, size, radius, lower, chunk)
+    found = similar_members(wrapped, size, radius, chunk) if similar else members(wrapped, size, radius, True, chunk)
     keeper = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row").alias("_row"))
     held = wrapped.join(keeper.select("_row").distinct(), "_row", "left_semi")
     # A row that repeats the keeper in id and text shares its hash; one of them stays.
