@@ -18,7 +18,10 @@ def seeded(seed: str, *parts: str) -> Column:
 
 
 def hash_block(col: str, digits: int = 3) -> Column:
-    """Block of a hex digest: its leading digits, evenly filled whatever the keys are."""
+    """Block of a hex digest: its leading digits, evenly filled whatever the keys are.
+
+    A digit more divides a block's rows by 16; choose as many as keep a block within a task.
+    """
     return F.conv(F.substring(col, 1, digits), 16, 10).cast("long")
 
 

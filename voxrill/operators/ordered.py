@@ -19,16 +19,14 @@ _PAST = (Window.unboundedPreceding, -1)
 _FUTURE = (1, Window.unboundedFollowing)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Left join on equal (or both NULL) ``cols``; keeps the left copies."""
-    right = right.select(
-        *[F.col(c).alias(f"__r{i}") for i, c in enumerate(cols)],
-        *[c for c in right.columns if c not in cols],
-    )
-    on = F.lit(True)
-    for i, c in enumerate(cols):
-        on = on & F.col(c).eqNullSafe(F.col(f"__r{i}"))
-    return left.join(right, on, "left").drop(*[f"__r{i}" for i in range(len(cols))])
+def _placed(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Add __key and __at: the timeline, and the timeline with its block, each as one struct.
+
+    Structs with NULL fields are equal under plain equality, so windows and the stitching join use the same
+    expression, and the rows that a window has dealt out need no second exchange for the join.
+    """
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
+    return df.withColumns({"__key": key, "__blk": block}).withColumn("__at", F.struct("__key", "__blk"))
 
 
 def scan(
@@ -52,7 +50,7 @@ def scan(
     mins, maxes = dict(mins or {}), dict(maxes or {})
     keys, order = list(keys), list(order)
     inputs = {**sums, **mins, **maxes, **fills, **back_fills}
-    src = df.select("*", block.alias("__blk"), *[c.alias(f"__in_{n}") for n, c in inputs.items()])
+    src = _placed(df, keys, block).select("*", *[c.alias(f"__in_{n}") for n, c in inputs.items()])
 
     rank = F.struct(*[F.col(o) for o in order])
     running = [(n, F.sum) for n in sums] + [(n, F.min) for n in mins] + [(n, F.max) for n in maxes]
@@ -62,20 +60,20 @@ def scan(
         f(F.struct(F.col(f"__in_{n}").alias("v")), F.when(F.col(f"__in_{n}").isNotNull(), rank)).alias(f"__s_{n}")
         for n, f in known
     ]
-    w = Window.partitionBy(*keys).orderBy("__blk")
-    carry = src.groupBy(*keys, "__blk").agg(*aggs)
+    w = Window.partitionBy("__at.__key").orderBy("__at.__blk")
+    carry = src.groupBy("__at").agg(*aggs)
     picked = [f(f"__s_{n}").over(w.rowsBetween(*_PAST)).alias(f"__c_{n}") for n, f in running]
     picked += [F.last(f"__s_{n}", True).over(w.rowsBetween(*_PAST)).alias(f"__c_{n}") for n in fills]
     picked += [F.first(f"__s_{n}", True).over(w.rowsBetween(*_FUTURE)).alias(f"__c_{n}") for n in back_fills]
-    carry = carry.select(*keys, "__blk", *picked)
+    carry = carry.select("__at", *picked)
 
-    inside = Window.partitionBy(*keys, "__blk").orderBy(*order)
+    inside = Window.partitionBy("__at").orderBy(*order)
     up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
     onward = inside.rowsBetween(0, Window.unboundedFollowing)
     local = [f(f"__in_{n}").over(up_to).alias(f"__w_{n}") for n, f in running]
     local += [F.last(f"__in_{n}", True).over(up_to).alias(f"__w_{n}") for n in fills]
     local += [F.first(f"__in_{n}", True).over(onward).alias(f"__w_{n}") for n in back_fills]
-    out = _null_safe(src.select("*", *local), carry, [*keys, "__blk"])
+    out = src.select("*", *local).join(carry, "__at", "left")
 
     final = {n: F.coalesce(F.col(f"__w_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums}
     final |= {n: F.least(F.col(f"__w_{n}"), F.col(f"__c_{n}")) for n in mins}
@@ -95,7 +93,7 @@ def neighbours(
     """Add values of the previous / next row along ``order`` (NULL at the ends)."""
     prev, nxt = dict(prev or {}), dict(next or {})
     keys, order = list(keys), list(order)
-    src = df.withColumn("__blk", block)
+    src = _placed(df, keys, block)
     rank = F.struct(*[F.col(o) for o in order])
     aggs = []
     if prev:
@@ -104,16 +102,16 @@ def neighbours(
     if nxt:
         src = src.withColumn("__in_n", F.struct(*[c.alias(n) for n, c in nxt.items()]))
         aggs.append(F.min_by("__in_n", rank).alias("__head"))
-    w = Window.partitionBy(*keys).orderBy("__blk")
-    edges = src.groupBy(*keys, "__blk").agg(*aggs)
+    w = Window.partitionBy("__at.__key").orderBy("__at.__blk")
+    edges = src.groupBy("__at").agg(*aggs)
     edge_cols = [F.lag("__tail").over(w).alias("__ptail")] if prev else []
     edge_cols += [F.lead("__head").over(w).alias("__nhead")] if nxt else []
-    edges = edges.select(*keys, "__blk", *edge_cols)
+    edges = edges.select("__at", *edge_cols)
 
-    inside = Window.partitionBy(*keys, "__blk").orderBy(*order)
+    inside = Window.partitionBy("__at").orderBy(*order)
     local = [F.lag("__in_p").over(inside).alias("__wp")] if prev else []
     local += [F.lead("__in_n").over(inside).alias("__wn")] if nxt else []
-    out = _null_safe(src.select("*", *local), edges, [*keys, "__blk"])
+    out = src.select("*", *local).join(edges, "__at", "left")
     cols = [F.coalesce("__wp", "__ptail")[n].alias(n) for n in prev]
     cols += [F.coalesce("__wn", "__nhead")[n].alias(n) for n in nxt]
     return out.select(*df.columns, *cols)

@@ -211,12 +211,22 @@ def substitute_formants(phones: DataFrame, chosen: DataFrame, keys: Sequence[str
 # --- words ----------------------------------------------------------------------
 
 
+def known_times(phones: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, time: str) -> DataFrame:
+    """Give a phone of unknown time the latest known time of the phones before it in the sequence.
+
+    ``attach_words`` then leaves it with the word of the phone before; without any known time before it, it
+    stays unknown.
+    """
+    out = scan(phones, keys, order, block, maxes={"__t": F.col(time)})
+    return out.withColumn(time, F.col("__t")).drop("__t")
+
+
 def attach_words(items: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column) -> DataFrame:
     """Each phone gets the last word that starts at or before it, its index and its place in the word.
 
     ``items`` holds words and phones in one timeline: (keys, order..., is_word,
     word, word_time).  Words must sort before phones at equal time.  Phones
-    before the first word are dropped.
+    before the first word are dropped; give unknown times a value first (``known_times``).
     """
     w = F.col("is_word")
     counted = scan(items, keys, order, block, sums={"words_so_far": w.cast("long"), "phones_so_far": (~w).cast("long")})

@@ -79,6 +79,10 @@ def align_versions(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("phone
     return both.withColumn("presence", presence)
 
 
+#: A deviation that grew by more than this factor is reported.
+BLOW_UP = 1.5
+
+
 def drift(aligned: DataFrame) -> DataFrame:
     """Mean shift in old deviations and deviation growth, common cells only (deviation 0 counts as 1)."""
     unit = F.when(F.col("stdev_old") == 0, F.lit(1.0)).otherwise(F.col("stdev_old"))

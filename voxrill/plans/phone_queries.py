@@ -403,12 +403,12 @@ def stats_alignment(spark, d):
 
 @query("stats_drift", "A32", ("aligned_v",), """
 SELECT phoneme, formant, round(mean_new - mean_old, 3) AS delta, round(abs(mean_new - mean_old) / (CASE WHEN stdev_old = 0 THEN 1 ELSE stdev_old END), 6) AS shift,
-  round(CASE WHEN stdev_old > 0 THEN stdev_new / stdev_old END, 6) AS growth, coalesce(stdev_old > 0 AND stdev_new / stdev_old > 1.0, false) AS blow_up
+  round(CASE WHEN stdev_old > 0 THEN stdev_new / stdev_old END, 6) AS growth, coalesce(stdev_old > 0 AND stdev_new / stdev_old > 1.5, false) AS blow_up
 FROM aligned_v WHERE presence = 'common'
 """)
 def stats_drift(spark, d):
     return ST.drift(aligned(spark, d)).select(
-        "phoneme", "formant", *r3("delta"), *r6("shift", "growth"), F.coalesce(F.col("growth") > 1.0, F.lit(False)).alias("blow_up")
+        "phoneme", "formant", *r3("delta"), *r6("shift", "growth"), F.coalesce(F.col("growth") > ST.BLOW_UP, F.lit(False)).alias("blow_up")
     )
 
 
@@ -426,7 +426,7 @@ def drift_summary(spark, d):
     return a.agg(
         F.count_if(common).alias("cells"),
         F.round(F.avg(F.when(common, F.abs(F.col("mean_new") - F.col("mean_old")) / unit)), 6).alias("mean_shift"),
-        F.count_if(common & (F.col("stdev_new") / F.col("stdev_old") > 1.5)).alias("blow_ups"),
+        F.count_if(common & (F.col("stdev_new") / F.col("stdev_old") > ST.BLOW_UP)).alias("blow_ups"),
         F.count_distinct(F.when(F.col("presence") == "added", F.col("phoneme"))).alias("added"),
         F.count_distinct(F.when(F.col("presence") == "dropped", F.col("phoneme"))).alias("dropped"),
     )

@@ -29,7 +29,7 @@ def word_items(spark, d):
     t = A.timeline(spark, d)
     w = F.col("kind") == "signup"
     return t.select(
-        "recording_id", "t", (~w).alias("is_phone"), "ref", "phone", w.alias("is_word"),
+        "recording_id", "t", (~w).alias("is_phone"), "ref", "k", "phone", w.alias("is_word"),
         F.concat(F.lit("w"), (F.col("k") % 30).cast("string")).alias("word"), F.when(w, F.col("t")).alias("word_time"),
     )
 
@@ -54,6 +54,21 @@ def asof_words(spark, d):
     return attached(spark, d).select("recording_id", "ref", "phone", "word", *r6("word_time"), "word_index", "nth")
 
 
+@query("asof_unknown_times", "J3", ("words_v",), """
+SELECT p.recording_id, p.ref, w.word, w.word_index, row_number() OVER (PARTITION BY p.recording_id, w.word_index ORDER BY p.at, p.t) - 1 AS nth
+FROM (SELECT *, max(CASE WHEN k % 5 <> 0 THEN t END) OVER (PARTITION BY recording_id ORDER BY t) AS at FROM timeline_v WHERE kind <> 'signup') p
+ASOF JOIN words_v w ON p.recording_id = w.recording_id AND p.at >= w.word_time
+""")
+def asof_unknown_times(spark, d):
+    """Every fifth phone has no time and keeps the word of the phone before it."""
+    items = word_items(spark, d).withColumn("seq", F.col("t"))
+    words, phones = items.where("is_word"), items.where("is_phone")
+    gaps = phones.withColumn("t", F.when(F.col("k") % 5 != 0, F.col("t")))
+    timed = P.known_times(gaps, REC, ["seq", "ref"], _block("seq"), "t").where("t IS NOT NULL")
+    out = P.attach_words(timed.unionByName(words), REC, ["t", "is_phone", "seq", "ref"], _block())
+    return out.select("recording_id", "ref", "word", "word_index", "nth")
+
+
 @query("expected_phones", "J4", ("asof_v",), """
 SELECT recording_id, ref, word, nth, CASE WHEN nth < len(n_name) THEN substr(n_name, CAST(nth AS INTEGER) + 1, 1) END AS expected
 FROM asof_v LEFT JOIN nation ON word = 'w' || n_nationkey

@@ -59,7 +59,7 @@ def stream_task_states(spark, d):
     """The same states from a file stream with stored state."""
     s = progress_stream(spark, d).withWatermark("ts", "10 minutes").select("task_id", "ts", "type")
     out = G.drain(G.stream_task_states(s), "states", "update")
-    return out.groupBy("task_id").agg(F.max_by("state", "last_ms").alias("state"), F.max("last_ms").alias("last_ms"))
+    return out.groupBy("task_id").agg(F.max_by("state", "epoch").alias("state"), F.max("last_ms").alias("last_ms"))
 
 
 _RATE = """
@@ -100,7 +100,7 @@ def stream_queue_waits(spark, d):
     """The same waits from two watermarked streams."""
     e = progress_stream(spark, d).where("type = 'queue'")
     f = progress_stream(spark, d).where("type = 'result'")
-    return G.drain(G.queue_waits(e, f, "6 hours").select("task_id", "wait_us"), "waits")
+    return G.drain(G.queue_waits(e, f, "6 hours").select("task_id", "wait_us"), "waits").drop("epoch")
 
 
 @query("stream_ingest_stats", "R5 A1", ("progress_v",), """

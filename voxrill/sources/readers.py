@@ -192,10 +192,8 @@ def read_tsv(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.option("sep", "\t").option("quote", "").option("header", "true").schema(schema).csv(path)
 
 
-def crowd_rows(raw: DataFrame, limit: int | None = None) -> DataFrame:
-    """Crowd-corpus rows with a known gender, a path, a sentence and a speaker; ``limit`` caps the scan."""
-    if limit is not None:
-        raw = raw.limit(limit)
+def crowd_rows(raw: DataFrame) -> DataFrame:
+    """Crowd-corpus rows with a known gender, a path, a sentence and a speaker."""
     t = {c: F.trim(c) for c in ("client_id", "path", "sentence")}
     rows = raw.select(*[v.alias(k) for k, v in t.items()], S.normalize_gender(F.col("gender")).alias("gender"))
     return rows.where("gender IS NOT NULL AND path <> '' AND sentence <> '' AND client_id <> ''")
@@ -246,17 +244,27 @@ def join_results(manifest: DataFrame, raw: DataFrame, key: str, text: str) -> Da
 
 
 def bundle_key(path: Column) -> tuple[Column, Column]:
-    """(lang, sex) from .../<lang>/sessions/<sex>/session_*.vga.json."""
-    pat = r"/([^/]+)/sessions/([FM])/[^/]*$"
-    return F.nullif(F.regexp_extract(path, pat, 1), F.lit("")), F.nullif(F.regexp_extract(path, pat, 2), F.lit(""))
+    """(lang, sex) from .../<lang>/sessions/<sex>/session_*.vga.json or .../part_lang=<lang>/part_sex=<sex>/."""
+    forms = (r"/([^/]+)/sessions/([FM])/[^/]*$", r"/part_lang=([^/]+)/part_sex=([FM])/[^/]*$")
+    found = [[F.nullif(F.regexp_extract(path, p, i), F.lit("")) for p in forms] for i in (1, 2)]
+    return F.coalesce(*found[0]), F.coalesce(*found[1])
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """Session bundles below ``path`` with the language and sex of their folder."""
-    b = spark.read.schema(SC.BUNDLE).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
-    b = b.withColumn("file", F.col("_metadata.file_path"))
+def read_bundles(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
+    """Session bundles below ``path`` with their language and sex.
+
+    ``layout="files"``: one document per file, <lang>/sessions/<sex>/ as folders.  ``layout="lines"``: one
+    document per line, as ``write_bundles`` leaves them.  Language and sex come from the document, else from
+    the folder.
+    """
+    r = spark.read.schema(SC.BUNDLE).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    if layout == "files":
+        r = r.option("multiLine", "true")
+    elif layout != "lines":
+        raise ValueError(f"unknown bundle layout: {layout}")
+    b = r.json(path).withColumn("file", F.col("_metadata.file_path"))
     lang, sex = bundle_key(F.col("file"))
-    return b.withColumn("lang", lang).withColumn("sex", sex)
+    return b.withColumn("lang", F.coalesce("calibration_meta.lang", lang)).withColumn("sex", F.coalesce("calibration_meta.sex", sex))
 
 
 def bundle_sessions(bundles: DataFrame) -> DataFrame:
@@ -289,7 +297,7 @@ def check_imports(docs: DataFrame, text: str, key: str, max_audio: int = MAX_AUD
     )
     b = b.withColumn("reason", reason)
     rejects = b.where("reason IS NOT NULL").select(key, "reason")
-    exported = F.unix_millis(F.to_timestamp(F.col("_b.exported_at")))
+    exported = F.unix_millis(F.try_to_timestamp(F.col("_b.exported_at")))
     good = b.where("reason IS NULL").select(key, exported.alias("_x"), F.posexplode(s).alias("idx", "s"))
     fits = F.coalesce(F.length("s.audio.base64"), F.lit(0)) <= max_audio
     out = good.select(

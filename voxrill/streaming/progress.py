@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxrill.schemas import PROGRESS
@@ -50,8 +51,11 @@ def event_state(kind: Column) -> Column:
 def task_states(events: DataFrame) -> DataFrame:
     """Current state per task: a final state once reached, else the latest one."""
     s = event_state(F.col("type"))
-    final = F.when(s.isin("SUCCESS", "FAILURE"), 1).otherwise(0)
-    best = F.max_by(s, F.struct(final, F.when(final == 1, -F.unix_micros(F.col("ts"))).otherwise(F.unix_micros(F.col("ts")))))
+    at, final = F.unix_micros(F.col("ts")), s.isin("SUCCESS", "FAILURE")
+    # Of equal times: the first final state by name, the last other state by name.
+    first = F.min(F.when(final, F.struct(at.alias("at"), s.alias("s"))))
+    latest = F.max(F.when(~final, F.struct(at.alias("at"), s.alias("s"))))
+    best = F.coalesce(first.getField("s"), latest.getField("s"))
     return events.groupBy("task_id").agg(best.alias("state"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"))
 
 
@@ -60,21 +64,33 @@ def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterato
     if state.hasTimedOut:
         state.remove()
         return
-    current, last = state.get if state.exists else ("PENDING", 0)
+    # The earliest final state, the latest other one and the latest time; the order of arrival does not matter.
+    final, final_us, latest, latest_us, last_us = state.get if state.exists else (None, 0, None, 0, 0)
     for b in batches:
-        for kind, ts in b.sort_values("ts")[["type", "ts"]].itertuples(index=False):
-            if current not in ("SUCCESS", "FAILURE"):
-                current = STATE_OF_TYPE.get(kind, current)
-            last = max(last, int(ts.value // 1_000_000))
-    state.update((current, last))
-    state.setTimeoutTimestamp(last + EVENTS_TTL_S * 1000)
-    yield pd.DataFrame({"task_id": [key[0]], "state": [current], "last_ms": [last]})
+        us = b["ts"].astype("datetime64[us]").astype("int64")
+        if not len(us):
+            continue
+        last_us = max(last_us, int(us.max()))
+        seen = pd.DataFrame({"us": us, "s": b["type"].map(STATE_OF_TYPE)}).dropna().sort_values(["us", "s"])
+        ends = seen["s"].isin(["SUCCESS", "FAILURE"])
+        if ends.any():
+            at, name = seen[ends].iloc[0]
+            if final is None or (at, name) < (final_us, final):
+                final, final_us = name, int(at)
+        if (~ends).any():
+            at, name = seen[~ends].iloc[-1]
+            if latest is None or (at, name) > (latest_us, latest):
+                latest, latest_us = name, int(at)
+    state.update((final, final_us, latest, latest_us, last_us))
+    state.setTimeoutTimestamp(last_us // 1000 + EVENTS_TTL_S * 1000)
+    yield pd.DataFrame({"task_id": [key[0]], "state": [final or latest], "last_ms": [last_us // 1000]})
 
 
 def stream_task_states(events: DataFrame) -> DataFrame:
     """Stateful form of ``task_states`` for a watermarked stream, with the events' time to live."""
     return events.groupBy("task_id").applyInPandasWithState(
-        _advance, "task_id long, state string, last_ms long", "state string, last_ms long", "update", GroupStateTimeout.EventTimeTimeout)
+        _advance, "task_id long, state string, last_ms long",
+        "final string, final_us long, latest string, latest_us long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_windows(events: DataFrame, span: str = "60 seconds", slide: str = "10 seconds", late: str = "10 minutes") -> DataFrame:
@@ -109,7 +125,7 @@ def store_events(events: DataFrame, path: str, checkpoint: str):
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available now and return what it wrote."""
+    """Run a stream over what is available now and return what it wrote, with the number of the trigger as ``epoch``."""
     folder = shared_folder(stream.sparkSession, name)
     out = f"{folder}/out"
 
@@ -119,4 +135,5 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/epoch=*")
+    written = StructType([*stream.schema.fields, StructField("epoch", LongType())])
+    return stream.sparkSession.read.schema(written).option("basePath", out).parquet(f"{out}/epoch=*")
