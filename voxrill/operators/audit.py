@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxrill.functions import dims as D
+from voxrill.functions import scalar as S
 from voxrill.operators.ordered import neighbours
 from voxrill.operators.quantiles import medians, quantiles
 
@@ -60,13 +61,23 @@ def nearest_rank(speakers: DataFrame, keys: Sequence[str], value: str) -> DataFr
 
 
 def saturation(phones: DataFrame, keys: Sequence[str], min_count: int = 3) -> DataFrame:
-    """Per-label medians of formants and z, and the share of scores at the ends of the scale."""
+    """Per-label medians of formants and z, and the share of scores at the ends of the scale.
+
+    phones: vowels only, with z against the statistics of their own label.
+    """
     sat = F.when(F.col("resonance").isNotNull(), ((F.col("resonance") <= 0.02) | (F.col("resonance") >= 0.98)).cast("double"))
     base = phones.groupBy(*keys).agg(F.count("z_f1").alias("n"), F.avg(sat).alias("sat_rate"))
     m = medians(phones, keys, {c: F.col(c) for c in ("f1", "f2", "f3", "z_f1", "z_f2", "z_f3")})
     return base.where(F.col("n") >= min_count).join(m, list(keys), "left")
 
 
+def noisy_labels(phones: DataFrame, keys: Sequence[str], limit: float = 0.5) -> DataFrame:
+    """Labels with more than ``limit`` of their scores at the ends of the scale."""
+    r = F.col("resonance")
+    rate = phones.where(r.isNotNull()).groupBy(*keys).agg(F.avg(((r <= 0.02) | (r >= 0.98)).cast("double")).alias("sat_rate"))
+    return rate.where(F.col("sat_rate") > limit)
+
+
 def zone_thresholds(table: DataFrame) -> DataFrame:
     """Zone rows derived from the female percentiles of a nearest-rank table (one row per zone)."""
     f = table.where("sex = 'F'")
@@ -124,7 +135,7 @@ def window_robustness(medians_: DataFrame, windows: DataFrame, lo: float, hi: fl
     """Computable and in-band counts over all windows, and percentiles of the window medians."""
     m = F.col("median")
     base = medians_.agg(F.count(m).alias("computable"), F.count_if(m.between(lo, hi)).alias("in_band"))
-    q = quantiles(medians_.select("median"), [], {"m": m}, {"_p10": 0.1, "_p50": 0.5, "_p90": 0.9})
+    q = quantiles(medians_.select("median"), [], {"m": m}, {"_p10": 0.1, "_p25": 0.25, "_p50": 0.5, "_p75": 0.75, "_p90": 0.9})
     # Three single aggregate rows side by side.
     return windows.join(base, F.lit(True)).join(q, F.lit(True))
 
@@ -151,6 +162,22 @@ def minority_ratio(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     return f.where("_t > 0").select(*keys, "file", ((F.col("_t") - F.col("_m")) / F.col("_t")).alias("ratio"))
 
 
+def minority_report(ratios: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean, percentiles, maximum and number of mixed files of minority ratios."""
+    q = quantiles(ratios, keys, {"": F.col("ratio")}, {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    a = ratios.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("files"), F.avg("ratio").alias("mean"), F.max("ratio").alias("top"), F.count_if(F.col("ratio") > 0).alias("mixed"))
+    return a.join(q, list(keys))
+
+
+def category_pitch(files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distribution of the files' own pitch per category; files without a positive pitch do not count."""
+    known = files.where(F.col("f0") > 0)
+    q = quantiles(known, keys, {"": F.col("f0")}, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    a = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"), F.avg("f0").alias("mean"), F.min("f0").alias("low"), F.max("f0").alias("high"))
+    return a.join(q, list(keys))
+
+
 def file_detail(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per file: counts by label, duration-weighted and minimum margin, accuracy."""
     ok = F.when(F.col("truth") != "neutral", (F.col("label") == F.col("truth")).cast("double"))
@@ -186,10 +213,26 @@ def compare_variants(runs: DataFrame, f0_tol: float = 0.5, score_tol: float = 0.
     p = runs.groupBy("lang").pivot("variant", keys).agg(F.max("f0").alias("f0"), F.max("score").alias("score"))
     f0 = {k: F.col(f"{k}_f0") for k in keys}
     sc = {k: F.col(f"{k}_score") for k in keys}
+    # A missing variant fails its checks.
+    sure = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
     return p.select(
         "lang",
-        ((F.abs(f0["V0"] - f0["V0p"]) <= f0_tol) & (F.abs(sc["V0"] - sc["V0p"]) <= score_tol)).alias("repeatable"),
-        ((f0["V1"] > f0["V0"]) & (f0["V0"] > f0["V2"])).alias("pitch_direction"),
-        (sc["V3"] > sc["V4"]).alias("formant_direction"),
-        (sc["V3"] - sc["V4"] >= gap).alias("formant_amplitude"),
+        sure((F.abs(f0["V0"] - f0["V0p"]) <= f0_tol) & (F.abs(sc["V0"] - sc["V0p"]) <= score_tol), "repeatable"),
+        sure((f0["V1"] > f0["V0"]) & (f0["V0"] > f0["V2"]), "pitch_direction"),
+        sure(sc["V3"] > sc["V4"], "formant_direction"),
+        sure(sc["V3"] - sc["V4"] >= gap, "formant_amplitude"),
     )
+
+
+# --- fixed values: names of fields that vowel rows no longer have, and the level names -------------
+LEGACY_FIELDS = {"weakest_formant", "z", "F_med_hz"}
+LEVELS = ["good", "low", "weak"]
+
+
+def range_assertions(vowels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Checks of vowel rows per group: scores in range, known levels, no former fields, enough tokens."""
+    r = F.col("resonance_med")
+    sure = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    return vowels.groupBy(*keys).agg(
+        sure(r.between(0, 1)).alias("score_in_range"), sure(S.level_key(r).isin(LEVELS)).alias("levels_ok"),
+        F.lit(not LEGACY_FIELDS & set(vowels.columns)).alias("no_legacy"), sure(F.col("n") >= 2).alias("enough_tokens"), F.count(F.lit(1)).alias("rows_checked"))

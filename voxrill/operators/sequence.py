@@ -19,11 +19,14 @@ from voxrill.operators.quantiles import medians
 
 
 def phone_ends(items: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, start: str = "start") -> DataFrame:
-    """Interval end = next start; 0.1 s after the start where that is missing or not later."""
+    """Interval end = next start; 0.1 s after the start where that is missing or not later.
+
+    Items of unknown start are neighbours like any other but do not appear themselves.
+    """
     s = F.col(start)
     out = neighbours(items, keys, order, block, next={"_next": s})
     end = F.when(F.col("_next") > s, F.col("_next")).otherwise(s + 0.1)
-    return out.withColumn("end", F.round(end, 3)).withColumn(start, F.round(s, 3)).drop("_next")
+    return out.withColumn("end", F.round(end, 3)).withColumn(start, F.round(s, 3)).where(s.isNotNull()).drop("_next")
 
 
 def weighted_mean(value: Column, start: Column, end: Column, keep: Column | None = None) -> Column:

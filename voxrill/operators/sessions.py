@@ -299,6 +299,19 @@ def dominant_of_three(segments: DataFrame, keys: Sequence[str], duration: Column
     return a.select(*keys, label.alias("label"), conf.alias("confidence"))
 
 
+def weighted_side(segments: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """The longer of male and female (female of equals) with its duration-weighted confidence and the time of both."""
+    d = F.col(end) - F.col(start)
+    conf = F.coalesce("confidence", F.lit(0.0)) * d
+    side = lambda n, c: F.coalesce(F.sum(F.when(F.col("label") == n, c)), F.lit(0.0))
+    a = segments.where(d > 0).groupBy(*keys).agg(
+        side("male", d).alias("_m"), side("male", conf).alias("_mc"), side("female", d).alias("_f"), side("female", conf).alias("_fc"))
+    female = F.col("_f") >= F.col("_m")
+    share = F.when(female, F.col("_fc") / F.col("_f")).otherwise(F.col("_mc") / F.col("_m"))
+    return a.where("_m > 0 OR _f > 0").select(
+        *keys, F.when(female, "female").otherwise("male").alias("label"), S.clamp01(share).alias("confidence"), (F.col("_m") + F.col("_f")).alias("speech_s"))
+
+
 def panel_rollup(phones: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Formant medians of positives and the displayed pitch range (floor-index p5/p95 of 40-600 Hz).
 

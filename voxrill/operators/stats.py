@@ -79,6 +79,14 @@ def align_versions(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("phone
     return both.withColumn("presence", presence)
 
 
+def top_shift(aligned: DataFrame, formant: int, n: int) -> DataFrame:
+    """The ``n`` labels whose mean of one formant moved most, with old and new means of all formants."""
+    common = aligned.where("presence = 'common'")
+    cells = [F.max(F.when(F.col("formant") == i, F.col(f"mean_{side}"))).alias(f"f{i}_{side}") for i in (1, 2, 3) for side in ("old", "new")]
+    wide = common.groupBy("phoneme").agg(*cells).withColumn("shift", F.col(f"f{formant}_new") - F.col(f"f{formant}_old"))
+    return wide.where("shift IS NOT NULL").orderBy(F.desc(F.abs("shift")), "phoneme").limit(n)
+
+
 #: A deviation that grew by more than this factor is reported.
 BLOW_UP = 1.5
 

@@ -441,6 +441,15 @@ def top_drift(spark, d):
     return dr.orderBy(F.desc("shift"), "phoneme", "formant").limit(15).select("phoneme", "formant", *r6("shift"))
 
 
+@query("top_drift_f2", "T4", ("aligned_v",), """
+SELECT phoneme, """ + ", ".join(f"round(max(mean_{s}) FILTER (formant = {i}), 3) AS f{i}_{s}" for i in (1, 2, 3) for s in ("old", "new")) + """
+FROM aligned_v WHERE presence = 'common' GROUP BY phoneme HAVING count(*) FILTER (formant = 2) > 0
+ORDER BY abs(max(mean_new) FILTER (formant = 2) - max(mean_old) FILTER (formant = 2)) DESC, phoneme LIMIT 15
+""")
+def top_drift_f2(spark, d):
+    return ST.top_shift(aligned(spark, d), 2, 15).select("phoneme", *r3(*[f"f{i}_{s}" for i in (1, 2, 3) for s in ("old", "new")]))
+
+
 @query("canary_check", "J19", ("aligned_v",), """
 SELECT phoneme, round(mean_old, 3) AS mean_old, round(mean_new, 3) AS mean_new, round(mean_new - mean_old, 3) AS delta
 FROM aligned_v WHERE presence = 'common' AND formant = 2 AND phoneme IN ('i', 'y', 'e')

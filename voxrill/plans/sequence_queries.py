@@ -404,7 +404,8 @@ def stage_profile(spark, d):
 
 @query("sliding_robustness", "A37", ("timeline_v",), """
 SELECT length_s, count(*) AS windows, count(median) AS computable, count(*) FILTER (median BETWEEN 85 AND 105) AS in_band,
-  round(quantile_cont(median, 0.1), 6) AS m_p10, round(quantile_cont(median, 0.5), 6) AS m_p50, round(quantile_cont(median, 0.9), 6) AS m_p90
+  round(quantile_cont(median, 0.1), 6) AS m_p10, round(quantile_cont(median, 0.25), 6) AS m_p25, round(quantile_cont(median, 0.5), 6) AS m_p50,
+  round(quantile_cont(median, 0.75), 6) AS m_p75, round(quantile_cont(median, 0.9), 6) AS m_p90
 FROM (SELECT length_s, recording_id, win, CASE WHEN count(v) >= 3 THEN quantile_cont(v, 0.5) END AS median FROM (
     SELECT g.length_s, g.recording_id, g.win, CASE WHEN kind <> 'view' THEN 60 + value END AS v
     FROM (SELECT length_s, recording_id, unnest(range(0, CAST(floor((dur - length_s) / 30) AS BIGINT) + 1)) AS win
@@ -422,6 +423,6 @@ def sliding_robustness(spark, d):
     for length in (90, 300):
         m = Q.sliding_medians(voiced, REC, float(length), 30.0, "dur", 3)
         n = dur.where(F.col("dur") >= length).agg(F.sum(F.floor((F.col("dur") - length) / 30) + 1).alias("windows"))
-        one = window_robustness(m, n, 85.0, 105.0).select(F.lit(length).alias("length_s"), "windows", "computable", "in_band", *r6("m_p10", "m_p50", "m_p90"))
+        one = window_robustness(m, n, 85.0, 105.0).select(F.lit(length).alias("length_s"), "windows", "computable", "in_band", *r6("m_p10", "m_p25", "m_p50", "m_p75", "m_p90"))
         out = one if out is None else out.unionByName(one)
     return out

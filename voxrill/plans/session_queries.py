@@ -320,6 +320,20 @@ def dominant_of_three(spark, d):
     return SE.dominant_of_three(t, ["recording_id"], F.col("value")).withColumn("confidence", F.round("confidence", 6))
 
 
+@query("weighted_side", "A34", ("timeline_v",), """
+SELECT recording_id, CASE WHEN f >= m THEN 'female' ELSE 'male' END AS label, round(least(1, greatest(0, CASE WHEN f >= m THEN fc / f ELSE mc / m END)), 6) AS confidence,
+  round(m + f, 6) AS speech_s FROM (
+  SELECT recording_id, coalesce(sum(d) FILTER (kind = 'click'), 0) AS m, coalesce(sum(d) FILTER (kind = 'purchase'), 0) AS f,
+    sum(d * c) FILTER (kind = 'click') AS mc, sum(d * c) FILTER (kind = 'purchase') AS fc
+  FROM (SELECT *, (k - 10) / 20 AS d, CASE WHEN k % 4 = 0 THEN 0 ELSE k / 100 END AS c FROM timeline_v) WHERE d > 0 GROUP BY recording_id) WHERE m > 0 OR f > 0
+""")
+def weighted_side(spark, d):
+    t = A.timeline(spark, d).select(
+        "recording_id", S.pick({"click": "male", "purchase": "female"}, F.col("kind"), "other").alias("label"), F.lit(0.0).alias("start"),
+        ((F.col("k") - 10) / 20).alias("end"), F.when(F.col("k") % 4 != 0, F.col("k") / 100).alias("confidence"))
+    return SE.weighted_side(t, ["recording_id"], "start", "end").select("recording_id", "label", *r6("confidence", "speech_s"))
+
+
 @query("panel_rollup", "A34", ("phones_v",), """
 SELECT recording_id, round(quantile_cont(f1, 0.5), 6) AS f1, round(quantile_cont(f2, 0.5), 6) AS f2, round(quantile_cont(f3, 0.5), 6) AS f3,
   round(CASE WHEN len(ps) >= 5 THEN ps[CAST(floor(len(ps) * 0.05) AS BIGINT) + 1] ELSE med - dev END, 6) AS pitch_lo,

@@ -10,6 +10,7 @@ from voxrill.plans.phone_queries import r6
 from voxrill.plans.registry import query
 from voxrill.sources import readers as R
 from voxrill.sources import writers as W
+from voxrill.session import shared_folder
 
 
 def _s(c):
@@ -245,20 +246,39 @@ def bundle_pack(spark, d):
     m = c.select("lang", F.col("gender").alias("sex"), F.col("clip_id").alias("session_id"), F.concat(F.lit("/x/"), "path", F.lit(".wav")).alias("wav"), F.col("path").alias("transcript"), F.col("speaker_id").alias("spk_id"), (F.col("duration_ms") / 1000).alias("duration_sec"))
     r = c.where("clip_id % 4 <> 0").select(F.col("clip_id").alias("session_id"), F.struct(F.col("duration_ms").cast("double").alias("median_pitch_hz")).alias("engine_c"))
     b = W.bundle(m, r, "session_id", F.lit(1).cast("long"), F.lit("2024-01-01T00:00:00Z"))
+    return _bundle_rows(b)
+
+
+def _bundle_rows(b):
     s = F.col("payload.sessions")[0]
     return b.select("lang", F.col("sex").alias("gender"), "calibration_meta.session_id", s["filename"].alias("filename"), F.col("calibration_meta.transcript_len_chars").cast("long").alias("transcript_len"), s["summary"]["engine_c"]["median_pitch_hz"].alias("median_pitch"))
 
 
+@query("bundle_files", "K6 S15", ("clips_v",), """
+SELECT lang, CASE gender WHEN 'male' THEN 'M' ELSE 'F' END AS gender, clip_id AS session_id, path || '.wav' AS filename, length(path) AS transcript_len, duration_ms::DOUBLE AS median_pitch
+FROM clips_v WHERE clip_id % 4 <> 0
+""")
+def bundle_files(spark, d):
+    """Bundles written below the shared folder, many to a file, and read back."""
+    c = A.clips(spark, d).withColumn("sex", F.when(F.col("gender") == "male", "M").otherwise("F"))
+    m = c.select("lang", "sex", F.col("clip_id").cast("string").alias("session_id"), F.concat(F.lit("/x/"), "path", F.lit(".wav")).alias("wav"), F.col("path").alias("transcript"), F.col("speaker_id").cast("string").alias("spk_id"), (F.col("duration_ms") / 1000).alias("duration_sec"))
+    r = c.where("clip_id % 4 <> 0").select(F.col("clip_id").cast("string").alias("session_id"), F.struct(F.col("duration_ms").cast("double").alias("median_pitch_hz")).alias("engine_c"))
+    path = shared_folder(spark, "bundles")
+    W.write_bundles(W.bundle(m, r, "session_id", F.lit(1).cast("long"), F.lit("2024-01-01T00:00:00Z")), path)
+    return _bundle_rows(R.read_bundles(spark, path, "lines")).withColumn("session_id", F.col("session_id").cast("long"))
+
+
 @query("slim_export", "K7", ("timeline_v",), """
-SELECT recording_id, count(*) AS sessions, '["confidence","label"]' AS analysis_fields, arg_min(kind, ref) AS first_file FROM timeline_v GROUP BY recording_id
+SELECT recording_id, CAST(i // 20 AS INTEGER) AS file_no, count(*) AS sessions, '["confidence","label"]' AS analysis_fields, arg_min(kind, ref) AS first_file
+FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY ref) - 1 AS i FROM timeline_v) GROUP BY ALL
 """)
 def slim_export(spark, d):
     t = A.timeline(spark, d)
     seg = F.array(F.struct(F.col("kind").alias("label"), (F.col("k") / 100).alias("confidence"), F.array(F.col("value")).alias("confidence_frames")))
     s = t.select("recording_id", F.col("ref").alias("idx"), F.col("kind").alias("filename"), F.struct(F.struct(F.col("k")).alias("engine_c"), F.col("k").alias("score")).alias("summary"), seg.alias("analysis"), F.col("tick").alias("created_at"))
-    e = W.export_payload(W.export_sessions(s, keep_engine=False), "recording_id")
+    e = W.export_payload(W.export_sessions(s, keep_engine=False), "recording_id", F.floor(F.col("idx") / 4096), per_file=20)
     fields = F.to_json(F.sort_array(F.json_object_keys(F.to_json(F.col("payload.sessions")[0]["analysis"][0]))))
-    return e.select("recording_id", F.size("payload.sessions").cast("long").alias("sessions"), fields.alias("analysis_fields"), F.col("payload.sessions")[0]["filename"].alias("first_file"))
+    return e.select("recording_id", "file_no", F.size("payload.sessions").cast("long").alias("sessions"), fields.alias("analysis_fields"), F.col("payload.sessions")[0]["filename"].alias("first_file"))
 
 
 @query("checkpoint_rows", "K4 K8", ("clips_v",), """

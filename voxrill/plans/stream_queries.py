@@ -84,23 +84,24 @@ def stream_rate_windows(spark, d):
 
 
 _WAITS = """
-SELECT e.task_id, e.event_id, date_diff('microsecond', e.ts, d.ts) AS wait_us FROM progress_v e JOIN progress_v d
-ON e.task_id = d.task_id AND e.type = 'queue' AND d.type = 'result' AND d.ts >= e.ts AND d.ts <= e.ts + INTERVAL 6 HOUR
+SELECT e.task_id, date_diff('microsecond', e.ts, (SELECT min(d.ts) FROM progress_v d WHERE d.task_id = e.task_id AND d.type = 'result' AND d.ts >= e.ts)) AS wait_us
+FROM progress_v e WHERE e.type = 'queue'
+  AND (SELECT min(d.ts) FROM progress_v d WHERE d.task_id = e.task_id AND d.type = 'result' AND d.ts >= e.ts) <= e.ts + INTERVAL 6 HOUR
 """
 
 
-@query("queue_waits", "R4", ("progress_v",), _WAITS.replace("e.event_id, ", ""))
+@query("queue_waits", "R4", ("progress_v",), _WAITS)
 def queue_waits(spark, d):
     p = progress(spark, d)
-    return G.queue_waits(p.where("type = 'queue'"), p.where("type = 'result'"), "6 hours").select("task_id", "wait_us")
+    return G.first_waits(G.queue_waits(p.where("type = 'queue'"), p.where("type = 'result'"), "6 hours")).select("task_id", "wait_us")
 
 
-@query("stream_queue_waits", "R4", ("progress_v",), _WAITS.replace("e.event_id, ", ""))
+@query("stream_queue_waits", "R4", ("progress_v",), _WAITS)
 def stream_queue_waits(spark, d):
     """The same waits from two watermarked streams."""
     e = progress_stream(spark, d).where("type = 'queue'")
     f = progress_stream(spark, d).where("type = 'result'")
-    return G.drain(G.queue_waits(e, f, "6 hours").select("task_id", "wait_us"), "waits").drop("epoch")
+    return G.first_waits(G.drain(G.queue_waits(e, f, "6 hours"), "waits")).select("task_id", "wait_us")
 
 
 @query("stream_ingest_stats", "R5 A1", ("progress_v",), """

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxrill.sources.readers import EXPORT_VERSION
+from voxrill.operators.ordered import scan
+from voxrill.sources.readers import EXPORT_VERSION, MAX_SESSIONS
 
 
 def _fixed(c: str, digits: int) -> Column:
@@ -85,10 +86,14 @@ def export_sessions(sessions: DataFrame, keep_engine: bool = True) -> DataFrame:
     return out if keep_engine else out.withColumn("summary", F.col("summary").dropFields("engine_c"))
 
 
-def export_payload(slim: DataFrame, file_key: str) -> DataFrame:
-    """One export document per file; a file holds a limited number of sessions (the importer's limit)."""
+def export_payload(slim: DataFrame, file_key: str, block: Column, per_file: int = MAX_SESSIONS) -> DataFrame:
+    """Export documents of at most ``per_file`` sessions (the importer's limit), numbered per key in the order of idx.
+
+    ``block`` is a monotone function of idx: numbering runs inside blocks, so no key has to fit a task.
+    """
+    numbered = scan(slim, [file_key], ["idx"], block, sums={"_n": F.lit(1)}).withColumn("file_no", F.floor((F.col("_n") - 1) / per_file).cast("int"))
     session = F.struct("filename", "summary", "analysis", "created_at")
-    return slim.groupBy(file_key).agg(
+    return numbered.groupBy(file_key, "file_no").agg(
         F.lit(EXPORT_VERSION).alias("export_schema_version"),
         F.struct(F.transform(F.sort_array(F.collect_list(F.struct("idx", session.alias("s")))), lambda x: x["s"]).alias("sessions")).alias("payload"))
 

@@ -108,6 +108,11 @@ def queue_waits(enqueued: DataFrame, dequeued: DataFrame, limit: str = "1 hour",
     return e.join(d, on).select("task_id", "t0", "t1", F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("t1")).alias("wait_us"))
 
 
+def first_waits(waits: DataFrame) -> DataFrame:
+    """Of the waits of one enqueue, the one that ends with the first dequeue after it."""
+    return waits.groupBy("task_id", "t0").agg(F.min("wait_us").alias("wait_us"))
+
+
 def ingest_observations(observations: DataFrame, store: str, checkpoint: str, late: str = "1 day"):
     """Start a stream that adds each observation once to a Parquet store; resumes from its checkpoint.
 
