@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,23 +11,33 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxrill.operators.quantiles import medians
+from voxrill.session import cut_lineage
 
 
-def simplex_grid(spark: SparkSession, g: int, min_f2: float = 0.0) -> DataFrame:
-    """All (i, j, k)/g with i + j + k = g and w2 at or above the floor, numbered in (i, j) order."""
-    i = spark.range(g + 1).select(F.col("id").cast("int").alias("i"))
-    ij = i.select("i", F.explode(F.sequence(F.lit(0), g - F.col("i"))).alias("j"))
+def simplex_grids(groups: DataFrame, g: int, min_f2: float = 0.0) -> DataFrame:
+    """For every row of ``groups``, all (i, j, k)/g with i + j + k = g and w2 at or above the floor, numbered in (i, j) order."""
+    i = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(g))).alias("i"))
+    ij = i.select("*", F.explode(F.sequence(F.lit(0), g - F.col("i"))).alias("j"))
     w = ij.select(
-        (F.col("i") * (g + 1) + F.col("j")).alias("cand"),
+        *groups.columns, (F.col("i") * (g + 1) + F.col("j")).alias("cand"),
         (F.col("i") / g).alias("w1"), (F.col("j") / g).alias("w2"), ((g - F.col("i") - F.col("j")) / g).alias("w3"),
     )
     return w.where(F.col("w2") >= min_f2 - 1e-9)
 
 
+def simplex_grid(spark: SparkSession, g: int, min_f2: float = 0.0) -> DataFrame:
+    """One grid of weights."""
+    return simplex_grids(spark.range(1), g, min_f2).drop("id")
+
+
 def box_grid(winner: DataFrame, half: float, steps: int, min_f2: float = 0.0) -> DataFrame:
-    """Grid around a winner row (w1, w2, w3), negatives dropped, renormalised to sum 1."""
+    """Grid around a winner row (w1, w2, w3), negatives dropped, renormalised to sum 1.
+
+    The centre is clipped to [0, 1]; where nothing of the box is left it stands alone.
+    """
+    clipped = winner.select(*[F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c))).alias(c) for c in ("w1", "w2", "w3")])
     axis = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda s: -half + s * (2 * half / max(1, steps - 1)))
-    g = winner.select("w1", "w2", "w3", F.posexplode(axis).alias("a", "da"))
+    g = clipped.select("w1", "w2", "w3", F.posexplode(axis).alias("a", "da"))
     g = g.select("*", F.posexplode(axis).alias("b", "db"))
     g = g.select("*", F.posexplode(axis).alias("c", "dc"))
     x, y, z = F.col("w1") + F.col("da"), F.col("w2") + F.col("db"), F.col("w3") + F.col("dc")
@@ -34,27 +45,33 @@ def box_grid(winner: DataFrame, half: float, steps: int, min_f2: float = 0.0) ->
     total = F.col("x") + F.col("y") + F.col("z")
     ok = (F.col("x") >= -1e-9) & (F.col("y") >= -1e-9) & (F.col("z") >= -1e-9) & (total > 1e-9)
     out = g.where(ok).select("cand", (F.col("x") / total).alias("w1"), (F.col("y") / total).alias("w2"), (F.col("z") / total).alias("w3"))
-    return out.where(F.col("w2") >= min_f2 - 1e-9)
+    whole = F.col("w1") + F.col("w2") + F.col("w3")
+    centre = clipped.select(F.lit(0).alias("cand"), *[(F.col(c) / whole).alias(c) for c in ("w1", "w2", "w3")])
+    # A single row beside a single count.
+    alone = centre.join(out.agg(F.count(F.lit(1)).alias("_n")), F.lit(True)).where("_n = 0").drop("_n")
+    return out.unionByName(alone).where(F.col("w2") >= min_f2 - 1e-9)
+
+
+#: Candidates that are scored at a time; their table (three doubles a row) travels with the tasks.
+BLOCK_CANDIDATES = 4096
 
 
-# Largest candidate table shipped to the tasks (three doubles a row).
-MAX_CANDIDATES = 500_000
+def candidate_blocks(candidates: DataFrame, size: int = BLOCK_CANDIDATES) -> Iterator[list]:
+    """The candidates (cand, w1, w2, w3) in order of their number, so many rows at a time."""
+    rows = candidates.select("cand", "w1", "w2", "w3").orderBy("cand").toLocalIterator()
+    while block := list(islice(rows, size)):
+        yield block
 
 
-def score_candidates(z: DataFrame, utt: str, candidates: DataFrame) -> DataFrame:
-    """Mean clamped score per (utterance, candidate): (utt, cand, score).
+def score_block(z: DataFrame, utt: str, block: Sequence) -> DataFrame:
+    """Mean clamped score per (utterance, candidate of one block): (utt, cand, score).
 
     The clip is per phone, so scores cannot be built from utterance sums.  Each
     Arrow batch of phone rows is multiplied with the weight matrix and reduced
     to one partial sum per utterance in the batch before anything is shuffled,
-    so a long utterance is spread over tasks.  The candidate table is checked
-    against ``MAX_CANDIDATES`` before it is shipped.
+    so a long utterance is spread over tasks.
     """
-    rows = candidates.orderBy("cand").limit(MAX_CANDIDATES + 1).collect()
-    if len(rows) > MAX_CANDIDATES:
-        raise ValueError("too many candidates: split the grid into blocks")
-    ids = np.array([r["cand"] for r in rows], dtype=np.int64)
-    weights = np.array([[r["w1"], r["w2"], r["w3"]] for r in rows], dtype=np.float64).T
+    weights = np.array([[r["w1"], r["w2"], r["w3"]] for r in block], dtype=np.float64).T
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -71,9 +88,48 @@ def score_candidates(z: DataFrame, utt: str, candidates: DataFrame) -> DataFrame
     kind = dict(z.dtypes)[utt]
     known = z.where(F.col("z1").isNotNull() & F.col("z2").isNotNull() & F.col("z3").isNotNull()).select(utt, "z1", "z2", "z3")
     parts = known.mapInPandas(partial, f"{utt} {kind}, n long, sums array<double>")
-    id_array = F.array(*[F.lit(int(i)) for i in ids]) if len(ids) <= 64 else F.from_json(F.lit(str(ids.tolist())), "array<bigint>")
-    long = parts.select(utt, "n", F.explode(F.arrays_zip(id_array.alias("cand"), F.col("sums").alias("s"))).alias("x"))
-    return long.groupBy(utt, F.col("x.cand").alias("cand")).agg((F.sum("x.s") / F.sum("n")).alias("score"))
+    long = parts.select(utt, "n", F.posexplode("sums").alias("_at", "_s"))
+    mean = long.groupBy(utt, "_at").agg((F.sum("_s") / F.sum("n")).alias("score"))
+    # As many rows as a block has.
+    ids = z.sparkSession.createDataFrame([(i, int(r["cand"])) for i, r in enumerate(block)], "_at int, cand long")
+    return mean.join(F.broadcast(ids), "_at").select(utt, "cand", "score")
+
+
+def search(z: DataFrame, utt: str, candidates: DataFrame, evaluate: Callable[[DataFrame], DataFrame], size: int = BLOCK_CANDIDATES) -> DataFrame:
+    """``evaluate`` of the scores of every block of candidates, one block after the other, put together.
+
+    Only one block's scores exist at a time; what stays is what ``evaluate`` makes of them.
+    """
+    out = None
+    for block in candidate_blocks(candidates, size):
+        one = cut_lineage(evaluate(score_block(z, utt, block)))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no candidates")
+    return out
+
+
+def pair_scores(z: DataFrame, utt: str, pairs: DataFrame) -> DataFrame:
+    """Recording mean per (utterance, candidate) as a summary has it: (utt, cand, score).
+
+    A phone counts if every z with a weight is known; a z without weight may be missing.  Scores of exactly
+    zero do not enter the mean.  For a handful of candidates: each phone row is looked at once for each.
+    """
+    w = F.broadcast(pairs.select(F.collect_list(F.struct("cand", "w1", "w2", "w3")).alias("_w")))
+    each = z.join(w, F.lit(True)).select(utt, "z1", "z2", "z3", F.explode("_w").alias("_w")).select(utt, "z1", "z2", "z3", "_w.*")
+    usable = F.lit(True)
+    total = F.lit(0.5)
+    for i in (1, 2, 3):
+        usable = usable & ((F.col(f"w{i}") == 0) | F.col(f"z{i}").isNotNull())
+        total = total + F.col(f"w{i}") * F.coalesce(F.col(f"z{i}"), F.lit(0.0))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+    return each.where(usable).withColumn("_s", score).where("_s > 0").groupBy(utt, "cand").agg(F.avg("_s").alias("score"))
+
+
+def keep_better(winner: DataFrame, refined: DataFrame) -> DataFrame:
+    """The refined winner if its accuracy is strictly higher, or equal with a smaller deviation; else the winner."""
+    both = winner.withColumn("_f", F.lit(0)).unionByName(refined.withColumn("_f", F.lit(1)))
+    return both.orderBy(F.desc(F.round("mean_acc", 12)), F.round("std_acc", 12), "_f").limit(1).drop("_f")
 
 
 def _correct(score: Column, thr: Column) -> Column:
