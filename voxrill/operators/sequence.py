@@ -38,8 +38,11 @@ def weighted_mean(value: Column, start: Column, end: Column, keep: Column | None
     return F.sum(F.when(ok, value * d)) / F.nullif(F.sum(F.when(ok, d)), F.lit(0.0))
 
 
-def char_groups(phones: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, gap_s: float = 0.02) -> DataFrame:
-    """Merge consecutive phones of one non-empty character less than ``gap_s`` apart."""
+def char_groups(phones: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, gap_s: float = 0.02, formants: Sequence[str] = ()) -> DataFrame:
+    """Merge consecutive phones of one non-empty character less than ``gap_s`` apart.
+
+    A cell has the duration-weighted means of pitch (voiced phones only), score and the named formants.
+    """
     joined = (F.col("char") != "") & (F.col("_pc") == F.col("char")) & (F.abs(F.col("_pe") - F.col("start")) < gap_s)
     runs = islands(phones, keys, order, block, {"_pc": F.col("char"), "_pe": F.col("end")}, joined, "cell")
     last = F.struct(*[F.col(o) for o in order])
@@ -48,7 +51,7 @@ def char_groups(phones: DataFrame, keys: Sequence[str], order: Sequence[str], bl
         F.min("start").alias("start"), F.max_by("end", last).alias("end"), F.first("char").alias("char"),
         F.count(F.lit(1)).alias("phones"),
         weighted_mean(F.col("pitch"), st, en, F.col("pitch") > 0).alias("pitch"),
-        weighted_mean(F.col("score"), st, en).alias("score"),
+        weighted_mean(F.col("score"), st, en).alias("score"), *[weighted_mean(F.col(f), st, en).alias(f) for f in formants],
     )
 
 

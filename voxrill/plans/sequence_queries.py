@@ -124,6 +124,22 @@ def char_groups(spark, d):
     return cells(spark, d).select("recording_id", F.col("cell").cast("long").alias("cell"), "char", "phones", *r6("start", "end"), F.round("pitch", 4).alias("pitch"), F.round("score", 4).alias("score"))
 
 
+@query("cell_formants", "W2", ("ends_v",), """
+SELECT recording_id, round(min(start), 6) AS start, char, """ + ", ".join(
+    f'round(sum(CASE WHEN f{i} IS NOT NULL AND "end" > start THEN f{i} * ("end" - start) END) / nullif(sum(CASE WHEN f{i} IS NOT NULL AND "end" > start THEN "end" - start END), 0), 4) AS f{i}'
+    for i in (1, 2, 3)) + """
+FROM (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY t) AS cell FROM (
+  SELECT *, CASE WHEN char <> '' AND lag(char) OVER r = char AND abs(lag("end") OVER r - start) < 0.02 THEN 0 ELSE 1 END AS new,
+    CASE WHEN k % 5 <> 0 THEN 300 + value END AS f1, 1200 + value AS f2, CASE WHEN k % 2 = 0 THEN 2500 + value END AS f3
+  FROM ends_v WINDOW r AS (PARTITION BY recording_id ORDER BY t))) GROUP BY recording_id, cell, char
+""")
+def cell_formants(spark, d):
+    k, v = F.col("k"), F.col("value")
+    f = {"f1": F.when(k % 5 != 0, 300 + v), "f2": 1200 + v, "f3": F.when(k % 2 == 0, 2500 + v)}
+    out = Q.char_groups(ended(spark, d).withColumns(f), REC, ["t"], _block(), formants=list(f))
+    return out.select("recording_id", "char", *r6("start"), *[F.round(c, 4).alias(c) for c in f])
+
+
 @query("gap_fill", "W4", ("cells2_v",), """
 SELECT recording_id, CAST(cell AS BIGINT) AS cell, round(CASE WHEN char = '' THEN NULL WHEN pitch IS NOT NULL THEN pitch
   WHEN p IS NOT NULL AND n IS NOT NULL THEN p.pitch + (n.pitch - p.pitch) * CASE WHEN n.start - p.e > 0 THEN greatest(0, least(1, (start - p.e) / (n.start - p.e))) ELSE 0.5 END
