@@ -29,8 +29,10 @@ from voxrill.llm import common
 from voxrill.llm.registry import query
 
 SPACE = "▁"
-#: Stretches and token pairs that a task remembers before it begins to forget.
-CACHE = 500_000
+#: Stretches and token pairs that a worker remembers before it begins to forget. Workers live on between
+#: tasks and stages, so this is memory that stays: below 200 MB.
+CACHE = 300_000
+PAIR_CACHE = 300_000
 NEVER = float("-inf")
 
 
@@ -132,7 +134,7 @@ class Coder:
         make a piece before a merge on their own side takes one of them away.
         """
         ok = self._formed(right)[2] if left == self.start else self._stay_apart(self._formed(left)[0], self._formed(right)[1])
-        if len(self._pairs) >= CACHE:
+        if len(self._pairs) >= PAIR_CACHE:
             self._pairs.clear()
         self._pairs[left * (self.start + 1) + right] = ok
         return ok

@@ -52,6 +52,8 @@ DEFAULT_WEIGHT = 3.0
 #: Lengths of stems; a whole word is a stem of its own.
 STEMS = (3, 4, 5, 6, 7, 8)
 MAX_ROWS = 40_000
+#: Words whose symbol a task remembers before it forgets them all.
+CACHE = 60_000
 
 NOTHING, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 _EDGE = "\"'“”„«»()[]{}<>.,;:!?…-–—*_~`|#&%$"
@@ -112,7 +114,7 @@ class Grammar:
             found = (self.words[core], 0.0, closes)
         else:
             found = (REPORT if quoted else NOTHING, 0.0, closes)
-        if len(self.cache) > 200_000:
+        if len(self.cache) > CACHE:
             self.cache.clear()
         self.cache[raw] = found
         return found
