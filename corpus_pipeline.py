@@ -12,35 +12,47 @@ from pyspark.sql import functions as F
 from voxrill.llm import common, linededup, mixing, pieces, simhash, toxicity
 from voxrill.session import configure, cut_lineage
 
+#: Bytes of text that a Python worker gets at a time. Workers live on from stage to stage, so their peaks add up
+#: with what the JVM holds; small batches keep both low.
+BATCH_BYTES = "8m"
 #: Documents with this toxicity score or more go.
 TOXIC = 0.7
 #: Lines in at least so many documents stay only where they occur first.
 LINE_DOCS = 10
 
 
+def _small_batches(spark: SparkSession) -> None:
+    configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose clauses score below the threshold; learned from the labels of these documents."""
+    _small_batches(spark)
     return toxicity.reject_toxic(docs, toxicity.train_for(spark, docs, sf_dir), TOXIC)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in the first of them; lengths follow the texts."""
+    _small_batches(spark)
     kept = linededup.drop_lines(docs, min_docs=LINE_DOCS, min_chars=1, keep="first")
     return kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more."""
+    _small_batches(spark)
     return simhash.keep_one(docs, size=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights, repeats included, in shards that are shuffled locally."""
+    _small_batches(spark)
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with digests of the ids and of the text they decode to."""
+    _small_batches(spark)
     return pieces.digests(docs, pieces.default_model(), with_ids=True)
 
 
