@@ -117,3 +117,49 @@ def test_chunks_give_the_same_components(spark):
     for similar, radius in ((True, 14), (False, 2)):
         a, b = (sorted(r.doc_id for r in simhash.keep_one(df, 5, radius, similar, chunk=c).collect()) for c in (simhash.CHUNK, 8))
         assert a == b
+
+
+def runs_of(text):
+    words = text.split()
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def plain_similar(texts):
+    """The smallest member of each component of pairs with a Jaccard similarity of 0.8 or more; and all pairs' similarities."""
+    sets, root, seen = [runs_of(t) for t in texts], list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            seen.append(len(sets[i] & sets[j]) / len(sets[i] | sets[j]))
+            if seen[-1] >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return {i for i, r in enumerate(root) if r == i}, seen
+
+
+def pairs_of_all_similarities(n, seed):
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        words = ["w%d" % rng.randrange(5000) for _ in range(rng.randrange(60, 300))]
+        edited, at = list(words), rng.randrange(len(words) // 2)
+        cut = rng.randrange(1, max(3, len(words) // 5))
+        edited[at:at + cut] = ["e%d" % rng.randrange(10**6) for _ in range(cut)]
+        texts += [" ".join(words), " ".join(edited)]
+    return texts
+
+
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 8])
+def test_only_similar_texts_are_linked(spark, chunk):
+    """Pairs between 0.5 and 1, and texts that share one long passage, against all exact similarities."""
+    rng = random.Random(4)
+    passage = ["p%d" % k for k in range(50)]
+    texts = pairs_of_all_similarities(150, 3)
+    for i in range(60):
+        own = ["o%d_%d" % (i, k) for k in range(rng.randrange(12, 50))]
+        texts.append(" ".join(passage + own if i % 2 else own + passage))
+    want, seen = plain_similar(texts)
+    assert sum(0.5 <= s < 0.8 for s in seen) > 50 < sum(s >= 0.8 for s in seen)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.keep_one(df, chunk=chunk).collect()}
+    assert want <= kept  # nothing goes that no similarity takes away
+    assert len(kept) - len(want) <= 0.1 * (len(texts) - len(want))

@@ -11,6 +11,11 @@ sends on only the links that join it up, at most as many as it has rows; compone
 Buckets above a bounded size are dealt into chunks, and pairs of chunks are compared in tasks of their
 own, so no bucket has to fit a task and no candidate is lost.
 
+Near copies by similarity (``keep_one``) take buckets from the shingles instead, and there the bit-sliced
+comparison only finds candidates: two texts are linked if their sets of shingle hashes have a Jaccard
+similarity of ``SIMILAR`` or more, counted exactly. Only texts with a candidate send their sets, once for
+each group of candidates they are in, not for each bucket.
+
 Null and empty texts, and texts without words, have fingerprint zero and link like any other. Repeated
 rows have equal fingerprints and one component. Rows with a null id take part; a component's id is its
 smallest id that is not null. An empty table gives an empty result. Other columns are not read.
@@ -34,6 +39,10 @@ from voxrill.session import cut_lineage
 BITS = 64
 #: Fingerprints that one task compares with each other or with as many others.
 CHUNK = 4096
+#: Shingle hashes that one task compares with each other or with as many others.
+CHUNK_HASHES = 1 << 19
+#: The least Jaccard similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
 #: Queries that are compared with a block at a time.
 QUERIES_AT_ONCE = 256
 
@@ -170,6 +179,58 @@ def _bucket_links(nodes: np.ndarray, fps: np.ndarray, side: np.ndarray, radius:
         yield of[x], of[y]
 
 
+def _bucket_groups(nodes: np.ndarray, fps: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """(group, node) of the nodes of one bucket that chains of links hold together.
+
+    A group's number is a hash of its nodes, the same in whatever bucket they meet; it is odd where the
+    group lies across two chunks.
+    """
+    root = {}
+
+    def find(a: int) -> int:
+        while root.setdefault(a, a) != a:
+            root[a] = a = root[root[a]]
+        return a
+
+    for a, b in _bucket_links(nodes, fps, side, radius):
+        root[find(a)] = find(b)
+    groups: dict[int, list[int]] = {}
+    for a in sorted(root):
+        groups.setdefault(find(a), []).append(a)
+    across = int(side.any() and not side.all())
+    for held in groups.values():
+        number = xxhash.xxh64_intdigest(np.array(held, np.int64).tobytes(), 11) & ~1 | across
+        yield from ((number - (number >> 63 << 64), a) for a in held)
+
+
+def _exact_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int) -> Iterator[tuple[int, int]]:
+    """Links that give the same components as all pairs that lie within the radius and are similar."""
+    size = np.array([len(s) for s in sets])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    kinds, which = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(kinds), np.int64)
+    label = np.arange(len(nodes))  # the component so far
+    sliced = planes(fps)
+    num, den = SIMILAR
+    for at in range(0, len(nodes), QUERIES_AT_ONCE):
+        for i, row in enumerate(close(fps[at:at + QUERIES_AT_ONCE], sliced, len(nodes), radius), at):
+            others = np.flatnonzero(row[:i])
+            small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+            others = others[(label[others] != label[i]) & (small * den >= large * num)]
+            mark[which[edge[i]:edge[i + 1]]] = 1
+            take = 1  # candidates compared at a time: few while they tend to be similar, more when they are not
+            while len(others):
+                now, others = others[:take], others[take:]
+                for j in now.tolist():
+                    common_hashes = int(mark[which[edge[j]:edge[j + 1]]].sum())
+                    if label[j] != label[i] and common_hashes * (den + num) >= num * int(size[i] + size[j]):
+                        yield int(nodes[i]), int(nodes[j])
+                        label[label == label[j]] = label[i]
+                others = others[label[others] != label[i]]
+                take = min(2 * take, 64)
+            mark[which[edge[i]:edge[i + 1]]] = 0
+
+
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -177,16 +238,16 @@ def _columns(found: list[tuple[int, int]]) -> list[pa.Array]:
     return [pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())]
 
 
-def _in_chunks(radius: int):
+def _in_chunks(radius: int, of=_bucket_links):
     def link(table: pa.Table) -> pa.Table:
         """One pair of chunks of a large bucket, or one chunk with itself."""
         node, fp, side = (np.asarray(table.column(c)) for c in ("node", "fp", "side"))
-        return pa.Table.from_arrays(_columns(list(_bucket_links(node, fp.view(np.uint64), side, radius))), schema=_LINKS)
+        return pa.Table.from_arrays(_columns(list(of(node, fp.view(np.uint64), side, radius))), schema=_LINKS)
 
     return link
 
 
-def _in_order(radius: int):
+def _in_order(radius: int, of=_bucket_links):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by bucket: whole buckets, each of at most a chunk's rows."""
         held = [np.zeros(0, np.int64) for _ in range(3)]
@@ -196,7 +257,7 @@ def _in_order(radius: int):
             out: list[tuple[int, int]] = []
             for lo, hi in zip([0, *edges], [*edges, len(keys)]):
                 if hi - lo > 1:
-                    out.extend(_bucket_links(nodes[lo:hi], fps[lo:hi].view(np.uint64), np.zeros(hi - lo, np.int32), radius))
+                    out.extend(of(nodes[lo:hi], fps[lo:hi].view(np.uint64), np.zeros(hi - lo, np.int32), radius))
             return pa.RecordBatch.from_arrays(_columns(out), schema=_LINKS)
 
         for batch in batches:
@@ -218,36 +279,109 @@ def band_buckets(fp: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), *[_field(fp, at, width) for at, width in fields]) for k, fields in enumerate(_bands(radius))])
 
 
-def links(kinds: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+def links(kinds: DataFrame, radius: int, chunk: int = CHUNK, of=_bucket_links) -> DataFrame:
     """(a, b): links between the nodes of ``kinds`` (node, fp, buckets) that share a bucket and lie within the radius.
 
-    They give the same components as all such pairs.
+    They give the same components as all such pairs. With a column n of ``kinds``, the number of a node's
+    hashes, chunks have a bound on those as well. ``of`` says what a bucket gives.
     """
     spark = kinds.sparkSession
-    sent = cut_lineage(kinds.select(F.explode("buckets").alias("bucket"), "node", "fp"))
+    weighs = [c for c in ("n",) if c in kinds.columns]
+    sent = cut_lineage(kinds.select(F.explode("buckets").alias("bucket"), "node", "fp", *weighs))
     # Dealt anew, so that the joins below can split a hot bucket.
-    sizes = sent.groupBy("bucket").count().where("count > 1").hint("rebalance")
+    load = F.sum(F.greatest(F.lit(1 / chunk), F.col("n") / CHUNK_HASHES)) if weighs else F.count("*") / F.lit(chunk)
+    sizes = sent.groupBy("bucket").agg(F.count("*").alias("count"), load.alias("load")).where("count > 1").hint("rebalance")
     # Buckets of one row, nearly all, end here.
-    shared = sent.join(sizes.where(F.col("count") <= chunk).select("bucket"), "bucket", "left_semi")
+    shared = sent.join(sizes.where("load <= 1").select("bucket"), "bucket", "left_semi")
     found = (
         shared.select("bucket", "node", "fp").repartition(common.partitions(spark), "bucket").sortWithinPartitions("bucket")
-        .mapInArrow(_in_order(radius), "a long, b long")
+        .mapInArrow(_in_order(radius, of), "a long, b long")
     )
     # A large bucket: every pair of its chunks is a group of its own.
-    large = sizes.where(F.col("count") > chunk).withColumn("chunks", F.ceil(2 * F.col("count") / F.lit(chunk)).cast("long"))
-    dealt = sent.join(large, "bucket").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), "chunks"))
+    large = sizes.where("load > 1").withColumn("chunks", F.ceil(2 * F.col("load")).cast("long"))
+    # Every bucket deals in its own way, so that nodes of several common buckets soon meet inside a chunk.
+    dealt = sent.join(large, "bucket").withColumn("mine", F.pmod(F.xxhash64("node", "bucket", F.lit(1)), "chunks"))
     pairs = dealt.select(
         "bucket", "node", "fp", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")
     ).select(
         "bucket", "node", "fp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"),
     )
-    return found.unionByName(pairs.groupBy("bucket", "low", "high").applyInArrow(_in_chunks(radius), "a long, b long"))
+    return found.unionByName(pairs.groupBy("bucket", "low", "high").applyInArrow(_in_chunks(radius, of), "a long, b long"))
+
+
+def _in_groups(radius: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (group, node, fp, hashes) sorted by group: the exact links of each group."""
+
+        def found(rows: pa.Table) -> pa.RecordBatch:
+            keys, nodes, fps = (np.asarray(rows.column(c)) for c in ("group", "node", "fp"))
+            sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in rows.column("hashes")]
+            edges = np.flatnonzero(np.diff(keys)) + 1
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
+                out.extend(_exact_links(nodes[lo:hi], fps[lo:hi].view(np.uint64), sets[lo:hi], radius))
+            return pa.RecordBatch.from_arrays(_columns(out), schema=_LINKS)
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            keys = np.asarray(held.column("group"))
+            last = int(np.searchsorted(keys, keys[-1]))  # the last group may go on in the next batch
+            if last:
+                yield found(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield found(held)
+
+    return link
+
+
+def _exact(groups: DataFrame, kinds: DataFrame, wrapped: DataFrame, size: int, radius: int) -> DataFrame:
+    """(a, b): the similar texts of each group (group, node); ``kinds``: (node, fp, text_row)."""
+
+    def hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(raw.as_py(), size)).tobytes() for raw in batch.column(2)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["node", "fp", "hashes"])
+
+    wanted = cut_lineage(kinds.join(groups.select("node").distinct(), "node", "left_semi").select("node", "fp", F.col("text_row").alias("_row")))
+    sets = wrapped.select("_row", "_body").join(wanted, "_row").select("node", "fp", "_body").mapInArrow(
+        common.by_batch(hashes), "node long, fp long, hashes binary"
+    ).groupBy("node").agg(F.first("fp").alias("fp"), F.first("hashes").alias("hashes"))  # a row may be repeated
+    return cut_lineage(
+        groups.join(sets, "node").select("group", "node", "fp", "hashes")
+        .repartition(common.partitions(groups.sparkSession), "group").sortWithinPartitions("group")
+        .mapInArrow(_in_groups(radius), "a long, b long")
+    )
 
 
-def _named(marked: DataFrame, node: str, kinds: DataFrame, radius: int, chunk: int) -> DataFrame:
-    """``marked`` with root (a node that names the component) and component_id; ``kinds``: (node, fp, buckets, least)."""
-    linked = components(links(kinds.select("node", "fp", "buckets"), radius, chunk)).withColumnRenamed("node", "_linked")
+def similar_links(kinds: DataFrame, wrapped: DataFrame, size: int, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links between the texts of ``kinds`` (node, fp, buckets, n, text_row) that share a bucket, lie
+    within the radius and are similar. They give the same components as all such pairs.
+
+    Groups across chunks come last: those that the others have joined up already need no comparison.
+    """
+    found = links(kinds.select("node", "fp", "buckets", "n"), radius, chunk, _bucket_groups)
+    groups = cut_lineage(found.select(F.col("a").alias("group"), F.col("b").alias("node")).distinct())
+    odd = F.col("group").bitwiseAND(F.lit(1)) == 1
+    inside = _exact(groups.where(~odd), kinds, wrapped, size, radius)
+    across = groups.where(odd)
+    if across.isEmpty():
+        return inside
+    known = components(inside)
+    apart = across.join(known, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root")).groupBy("group").agg(
+        F.min("root").alias("low"), F.max("root").alias("high")
+    ).where("low <> high").select("group").hint("rebalance")
+    left = cut_lineage(across.join(apart, "group", "left_semi"))
+    return inside.unionByName(_exact(left, kinds, wrapped, size, radius))
+
+
+def _named(marked: DataFrame, node: str, kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """``marked`` with root (a node that names the component) and component_id; ``kinds``: (node, least), ``found``: links."""
+    linked = components(found).withColumnRenamed("node", "_linked")
     member = cut_lineage(kinds.join(linked, F.col("node") == F.col("_linked"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     least = member.groupBy("root").agg(F.min("least").alias("component_id")).hint("rebalance")
     named = member.join(least, "root").select(F.col("node").alias(node), "root", "component_id")
@@ -258,7 +392,8 @@ def members(wrapped: DataFrame, size: int, radius: int, lower: bool, chunk: int)
     """(_row, _id, fp, root, component_id) of wrapped rows: all fingerprints within the radius are linked."""
     marked = cut_lineage(fingerprints(wrapped, size, lower))
     kinds = marked.groupBy("fp").agg(F.min("_id").alias("least"))
-    return _named(marked, "fp", kinds.select(F.col("fp").alias("node"), "fp", band_buckets(F.col("fp"), radius).alias("buckets"), "least"), radius, chunk)
+    kinds = kinds.select(F.col("fp").alias("node"), "fp", band_buckets(F.col("fp"), radius).alias("buckets"), "least")
+    return _named(marked, "fp", kinds, links(kinds.select("node", "fp", "buckets"), radius, chunk))
 
 
 #: Bins of a text's smallest shingle hashes, and the bands of them that bring similar texts together.
@@ -290,29 +425,32 @@ def similar_buckets(h: np.ndarray) -> np.ndarray:
 
 
 def similar_members(wrapped: DataFrame, size: int, radius: int, chunk: int) -> DataFrame:
-    """(_row, _id, text_key, root, component_id): texts that share a bucket and lie within the radius are linked.
+    """(_row, _id, text_key, root, component_id): similar texts that share a bucket and lie within the radius are linked.
 
     A radius that goes with a similarity of shingles well below 1 is too wide for bands of the fingerprint
-    itself; buckets come from the shingles then, and the fingerprints decide.
+    itself; buckets come from the shingles then, fingerprints give candidates, and the shingles decide.
     """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, fps, buckets = [], [], []
+        keys, fps, buckets, n = [], [], [], []
         for raw in batch.column(2):
             text = raw.as_py()
             h = shingle_hashes(text, size)
             keys.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
             fps.append(_majority(h))
             buckets.append(similar_buckets(h))
+            n.append(len(h))
         signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (keys, fps)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(buckets, pa.list_(pa.int64()))], names=["_row", "_id", "text_key", "fp", "buckets"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *signed, pa.array(buckets, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["_row", "_id", "text_key", "fp", "buckets", "n"])
 
     id_type = wrapped.schema["_id"].dataType.simpleString()
     marked = cut_lineage(wrapped.select("_row", "_id", "_body").mapInArrow(
-        common.by_batch(per_batch), f"_row long, _id {id_type}, text_key long, fp long, buckets array<long>"
+        common.by_batch(per_batch), f"_row long, _id {id_type}, text_key long, fp long, buckets array<long>, n long"
     ))
-    kinds = marked.groupBy("text_key").agg(F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
-    return _named(marked.select("_row", "_id", "text_key"), "text_key", kinds.select(F.col("text_key").alias("node"), "fp", "buckets", "least"), radius, chunk)
+    kinds = marked.groupBy(F.col("text_key").alias("node")).agg(
+        F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"), F.first("n").alias("n"), F.min("_row").alias("text_row")
+    )
+    return _named(marked.select("_row", "_id", "text_key"), "text_key", kinds, similar_links(kinds, wrapped, size, radius, chunk))
 
 
 def clusters(docs: DataFrame, size: int = 5, radius: int = 2, lower: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -326,8 +464,8 @@ def keep_one(
 ) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest id, null ids last, then of the least row hash.
 
-    As it stands, for shingles of five words with a similarity of 0.8 or more, at which 14 differing bits
-    are rarely passed. ``similar=False`` links all fingerprints within the radius, which must be small then.
+    As it stands, for shingles of five words with a similarity of 0.8 or more: the sets of shingles decide
+    among texts within the radius. ``similar=False`` links all fingerprints within the radius, which must be small then.
     """
     wrapped = common.wrap(docs, id_col, text_col)
     found = similar_members(wrapped, size, radius, chunk) if similar else members(wrapped, size, radius, True, chunk)
