@@ -163,3 +163,20 @@ def test_only_similar_texts_are_linked(spark, chunk):
     kept = {r.doc_id for r in simhash.keep_one(df, chunk=chunk).collect()}
     assert want <= kept  # nothing goes that no similarity takes away
     assert len(kept) - len(want) <= 0.1 * (len(texts) - len(want))
+
+
+def test_copies_with_a_repeated_line(spark):
+    """A copy that gains one line ten times, or an edit that leaves a similarity just above 0.8, is still one."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(60):
+        words = ["w%d" % rng.randrange(5000) for _ in range(200)]
+        if i % 2:
+            other = words + ["line%d_%d" % (i, k) for k in range(10)] * 10
+        else:
+            other = words[:180] + ["e%d_%d" % (i, k) for k in range(20)]
+        texts += [" ".join(words), " ".join(other)]
+    want, _ = plain_similar(texts)
+    assert len(want) == 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want

@@ -43,6 +43,8 @@ CHUNK = 4096
 CHUNK_HASHES = 1 << 19
 #: The least Jaccard similarity of near copies, as a fraction.
 SIMILAR = (4, 5)
+#: Differing bits that rule a candidate out; about 10 are usual at that similarity.
+SIMILAR_RADIUS = 22
 #: Queries that are compared with a block at a time.
 QUERIES_AT_ONCE = 256
 
@@ -429,6 +431,7 @@ def similar_members(wrapped: DataFrame, size: int, radius: int, chunk: int) -> D
 
     A radius that goes with a similarity of shingles well below 1 is too wide for bands of the fingerprint
     itself; buckets come from the shingles then, fingerprints give candidates, and the shingles decide.
+    Fingerprints are those of the distinct shingles.
     """
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -437,6 +440,7 @@ def similar_members(wrapped: DataFrame, size: int, radius: int, chunk: int) -> D
             text = raw.as_py()
             h = shingle_hashes(text, size)
             keys.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
+            h = np.unique(h)  # a repeated passage does not count twice
             fps.append(_majority(h))
             buckets.append(similar_buckets(h))
             n.append(len(h))
@@ -460,7 +464,7 @@ def clusters(docs: DataFrame, size: int = 5, radius: int = 2, lower: bool = True
 
 
 def keep_one(
-    docs: DataFrame, size: int = 5, radius: int = 14, similar: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+    docs: DataFrame, size: int = 5, radius: int = SIMILAR_RADIUS, similar: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
 ) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest id, null ids last, then of the least row hash.
 
