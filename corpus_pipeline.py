@@ -17,8 +17,8 @@ from voxrill.session import configure, cut_lineage
 BATCH_BYTES = "8m"
 #: Documents with this toxicity score or more go.
 TOXIC = 0.7
-#: Lines in at least so many documents stay only where they occur first.
-LINE_DOCS = 10
+#: Lines in at least so many documents stay only where they occur first: the operator's own default.
+LINE_DOCS = 2
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -32,7 +32,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in the first of them; lengths follow the texts."""
+    """Lines that another document has as well stay in the first of them; lengths follow the texts."""
     _small_batches(spark)
     kept = linededup.drop_lines(docs, min_docs=LINE_DOCS, min_chars=1, keep="first")
     return kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType))

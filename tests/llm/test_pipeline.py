@@ -81,3 +81,10 @@ def test_encoding(steps):
 def test_run(spark, steps):
     key = lambda r: (r.doc_id, r.ids_sha256)
     assert sorted(map(key, corpus_pipeline.run(spark, SF).collect())) == sorted(map(key, steps[-1].collect()))
+
+
+def test_a_line_of_two_documents_stays_in_the_first(spark):
+    rows = [(1, "own one\nShared", 0), (2, "shared \nown two", 0), (3, "own three", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    got = corpus_pipeline.drop_shared_lines(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == [(1, "own one\nShared", 14), (2, "own two", 7), (3, "own three", 9)]
