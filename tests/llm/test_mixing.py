@@ -1,6 +1,7 @@
 """Mixing: targets, exact quotas of the tree, nearness to targets, and shards that use each draw once."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -77,3 +78,20 @@ def test_mix_returns_the_copies(spark, monkeypatch):
     assert +copies == +want
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.takes(df.limit(0)).count() == 0
+
+
+def test_rows_without_words_stay_out_of_edge_groups(spark, monkeypatch):
+    """They are all taken as often as their block, but not sent to the one task of an edge block."""
+    picks = mixing._edge_picks
+
+    def only_words(pdf):
+        assert (pdf["size"] > 0).all()
+        return picks(pdf)
+
+    monkeypatch.setattr(mixing, "_edge_picks", only_words)
+    rows = [(i, "a b c d e" if i % 5 == 0 else (None if i % 2 else " "), "xyz"[i % 3]) for i in range(300)]
+    got = mixing.takes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 300
+    for r in got:
+        if r.size == 0:
+            assert len(r.shards) == math.ceil(r.target / r.source_size)

@@ -185,12 +185,13 @@ def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float,
         F.array_sort(F.collect_list(F.when(~F.col("partial"), F.col("shard")))).alias("full"), F.max(F.when(F.col("partial"), F.col("shard"))).alias("part"),
     )
     edges = laid.where("edge").select("_number", "_block", "left")
-    picks = units.join(edges, ["_number", "_block"]).withColumn("order", F.xxhash64(F.lit(seed + 1), "_row")).groupBy("_number", "_block").applyInPandas(
+    # Rows without words always fit, in whatever number they come, and are picked without a look at the others.
+    picks = units.where("size > 0").join(edges, ["_number", "_block"]).withColumn("order", F.xxhash64(F.lit(seed + 1), "_row")).groupBy("_number", "_block").applyInPandas(
         _edge_picks, "_row long, _number int"
     ).withColumn("picked", F.lit(True))
     drawn = units.join(dealt, ["_number", "_block"], "left").join(picks, ["_row", "_number"], "left").select(
         "_row", "_number",
-        F.concat(F.coalesce("full", F.array().cast("array<int>")), F.when(F.col("picked") & F.col("part").isNotNull(), F.array("part")).otherwise(F.array().cast("array<int>"))).alias("shards"),
+        F.concat(F.coalesce("full", F.array().cast("array<int>")), F.when((F.col("picked") | (F.col("size") == 0)) & F.col("part").isNotNull(), F.array("part")).otherwise(F.array().cast("array<int>"))).alias("shards"),
     )
     return drawn, sources, shards
 
