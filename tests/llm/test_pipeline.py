@@ -88,3 +88,17 @@ def test_a_line_of_two_documents_stays_in_the_first(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
     got = corpus_pipeline.drop_shared_lines(spark, docs, SF).collect()
     assert sorted((r.doc_id, r.text, r.n_chars) for r in got) == [(1, "own one\nShared", 14), (2, "own two", 7), (3, "own three", 9)]
+
+
+def test_near_copies_by_similarity(steps):
+    """Of texts that an exact Jaccard similarity of 0.8 or more joins up, one stays; all others stay."""
+    rows = sorted((r.doc_id, r.text) for r in steps[2].collect())
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if rows[i][1].lower().split() == rows[j][1].lower().split() or both and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert {r.doc_id for r in steps[3].collect()} == {rows[i][0] for i in set(root)}
