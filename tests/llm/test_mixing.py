@@ -5,8 +5,10 @@ import math
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voxrill.llm import mixing
 
@@ -95,3 +97,51 @@ def test_rows_without_words_stay_out_of_edge_groups(spark, monkeypatch):
     for r in got:
         if r.size == 0:
             assert len(r.shards) == math.ceil(r.target / r.source_size)
+
+
+def test_nulls_do_not_clash(spark):
+    """A null text and a null source are told apart, and rows stay as many as they are."""
+    rows = [(1, None, "a"), (1, "a", None), (None, "a", "b"), (None, None, None), (2, "x y z", "a"), (2, "x y z", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.takes(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.source_size) for r in got) == sorted(
+        (i is None, i or 0, len((t or "").split()), {"a": 3, "b": 4, None: 1}[s]) for i, t, s in rows)
+
+
+def test_running_totals_in_slices(spark, monkeypatch):
+    """Two levels of sums give what one window over all blocks of a source gives."""
+    monkeypatch.setattr(mixing, "SLICE_BITS", 3)
+    rng = random.Random(9)
+    rows = [(n, rng.randrange(-2**63, 2**63), b, rng.randrange(50)) for n in range(3) for b in range(200)]
+    got = {(r._number, r._block): (r.before, r.rank) for r in mixing._running(spark.createDataFrame(rows, "_number int, order long, _block long, words long")).collect()}
+    want = {}
+    for n in range(3):
+        before = 0
+        for rank, (_, _, b, words) in enumerate(sorted((r for r in rows if r[0] == n), key=lambda r: r[1:3])):
+            want[n, b] = (before, rank)
+            before += words
+    assert got == want
+
+
+def test_many_shards(spark, monkeypatch):
+    """With small blocks the tree is several nodes deep; each source still comes near its target."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(mixing, "SHARD_DRAWS", 4)
+    df = spark.createDataFrame(rows(400), "doc_id long, text string, source string")
+    got = mixing.takes(df).collect()
+    assert len({s for r in got for s in r.shards}) > 30
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[s] - t) <= max(3, 0.01 * t) for s, t in target.items())
+    parts = mixing.mix(df).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) == 8 and max(p["count"] for p in parts) < 3 * min(p["count"] for p in parts)
+
+
+def test_a_source_for_every_row_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 20)
+    df = spark.range(30).selectExpr("id AS doc_id", "'a b' AS text", "cast(id AS string) AS source")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.takes(df)

@@ -10,8 +10,9 @@ and is shuffled locally.
 
 A null source is a source of its own and sorts last; a null text has size 0, as has a text without words.
 Rows of size 0 go where their block goes. Rows that repeat another in id, text and source share its fate,
-each counting its own size. Empty tables give empty results. A source's totals, one small row for each
-source, are the only thing that the driver holds.
+each counting its own size; a null is told from any value. Other columns are not read, whatever their
+names. Empty tables give empty results. A source's totals, one small row for each source, are the only
+thing that the driver holds; more than ``MAX_SOURCES`` sources are an error.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxrill.llm import common
@@ -31,6 +32,10 @@ from voxrill.session import cut_lineage
 #: Words of a block and block draws of a shard, about.
 BLOCK_WORDS = 1 << 17
 SHARD_DRAWS = 16
+#: A source's permuted blocks are summed up in so many slices, so that no window holds all of them.
+SLICE_BITS = 12
+#: Sources that the driver lays out, and whose quotas every node of the tree holds.
+MAX_SOURCES = 100_000
 
 
 def fill(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
@@ -90,20 +95,27 @@ def _hypergeometric(rng: np.random.Generator, quotas: np.ndarray, n: int) -> np.
     return out
 
 
+def _row(docs: DataFrame, *cols: str) -> Column:
+    """A hash of some columns' values that tells a null from every value and from a null elsewhere."""
+    return F.xxhash64(*[docs[c] for c in cols], *[docs[c].isNull() for c in cols])
+
+
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(_row, _id, _source, _size) of every row; the size is its number of words."""
     text = F.coalesce(docs[text_col], F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
     n = F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, f"{common.WHITE}+")))
     return docs.select(
-        F.xxhash64(docs[id_col], docs[text_col], docs[source_col]).alias("_row"), docs[id_col].alias("_id"),
+        _row(docs, id_col, text_col, source_col).alias("_row"), docs[id_col].alias("_id"),
         docs[source_col].cast("string").alias("_source"), n.cast("long").alias("_size"),
     )
 
 
 def _targets(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> list[tuple]:
     """(source, number, size, target, blocks) of each source, in order of code points, null last."""
-    totals = [(r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("_size").alias("n")).collect()]
+    totals = [(r["_source"], r["n"]) for r in rows.groupBy("_source").agg(F.sum("_size").alias("n")).limit(MAX_SOURCES + 1).collect()]
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; mix by a coarser column")
     totals.sort(key=lambda x: (x[0] is None, x[0] or ""))
     size = [n for _, n in totals]
     found = fill(size, [weights[i % len(weights)] for i in range(len(size))], share, most)
@@ -138,38 +150,61 @@ def _edge_picks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"_row": pd.Series(picked, dtype="int64"), "_number": pdf["_number"].iloc[0]})
 
 
+def _numbered(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with the number of their source and its totals; a null source is one as well."""
+    of = sources.withColumnRenamed("_source", "_of")
+    return rows.join(of, rows["_source"].eqNullSafe(of["_of"])).drop("_of")
+
+
+def _running(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (_number, order, _block, words) with the words and the number of blocks before each of its source.
+
+    Slices of the permuted order are summed first, so a source's blocks meet slice by slice, never all at once.
+    """
+    sliced = blocks.withColumn("_slice", F.shiftright("order", 64 - SLICE_BITS))
+    past = Window.partitionBy("_number").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sliced.groupBy("_number", "_slice").agg(F.sum("words").alias("w"), F.count(F.lit(1)).alias("n")).select(
+        "_number", "_slice", F.coalesce(F.sum("w").over(past), F.lit(0)).alias("_w"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_n")
+    )
+    inside = Window.partitionBy("_number", "_slice").orderBy("order", "_block").rowsBetween(Window.unboundedPreceding, 0)
+    return sliced.withColumns({"_in": F.sum("words").over(inside), "_at": F.count(F.lit(1)).over(inside)}).join(carried, ["_number", "_slice"]).select(
+        *blocks.columns, (F.col("_w") + F.col("_in") - F.col("words")).alias("before"), (F.col("_n") + F.col("_at") - 1).alias("rank")
+    )
+
+
 def plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int) -> tuple[DataFrame, DataFrame, int]:
     """(drawn, sources, shards): for each distinct row the shards its copies go to, and the sources' totals."""
     spark = rows.sparkSession
     listed = _targets(rows, weights, share, most)
     sources = spark.createDataFrame(listed, "_source string, _number int, source_size long, target double, _blocks long")
     # One row for each source, in order of magnitude far below a block's rows.
-    units = rows.groupBy("_row", "_source").agg(F.sum("_size").alias("size")).join(
-        sources, rows["_source"].eqNullSafe(sources["_source"])
-    ).select("_row", "_number", "size", F.pmod(F.xxhash64("_row", F.lit(seed)), "_blocks").alias("_block"))
-    blocks = units.groupBy("_number", "_block").agg(F.sum("size").alias("words")).join(sources.select("_number", "source_size", "target"), "_number")
-    order = F.xxhash64(F.lit(seed), "_number", "_block")
-    running = Window.partitionBy("_number").orderBy(order, "_block").rowsBetween(Window.unboundedPreceding, 0)
+    units = _numbered(rows.groupBy("_row", "_source").agg(F.sum("_size").alias("size")), sources).select(
+        "_row", "_number", "size", F.pmod(F.xxhash64("_row", F.lit(seed)), "_blocks").alias("_block")
+    )
+    blocks = units.groupBy("_number", "_block").agg(F.sum("size").alias("words")).withColumn("order", F.xxhash64(F.lit(seed), "_number", "_block"))
+    totals = sources.select("_number", "source_size", "target")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    laid = blocks.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn(
-        "before", F.sum("words").over(running) - F.col("words")
+    laid = _running(blocks).join(totals, "_number").withColumn("passes", passes).withColumn(
+        "rest", F.col("target") - F.col("passes") * F.col("source_size")
     )
+    # Sums only grow along the order: first the blocks that fit as a whole, then one at the edge, then none.
     whole = F.col("before") + F.col("words") <= F.col("rest")
     edge = ~whole & (F.col("before") < F.col("rest"))
     laid = cut_lineage(laid.select(
-        "_number", "_block", "passes", whole.alias("whole"), edge.alias("edge"), (F.col("rest") - F.col("before")).alias("left"), order.alias("order"),
+        "_number", "_block", "rank", "passes", whole.alias("whole"), edge.alias("edge"), (F.col("rest") - F.col("before")).alias("left"),
     ))
-    # Draws: every block once for each pass, and once more for the rest; numbered in permuted order.
-    draws = laid.select(
-        "_number", "_block", "edge",
-        F.explode(F.sequence(F.lit(0), F.col("passes") + F.when(F.col("whole") | F.col("edge"), 1).otherwise(0))).alias("turn"), "order", "passes",
-        (F.col("whole") | F.col("edge")).alias("rest"),
-    ).where((F.col("turn") < F.col("passes")) | ((F.col("turn") == F.col("passes")) & F.col("rest")))
-    draws = draws.withColumn("at", F.row_number().over(Window.partitionBy("_number").orderBy("turn", "order", "_block")) - 1).withColumn(
-        "partial", F.col("edge") & (F.col("turn") == F.col("passes"))
+    again = F.col("whole") | F.col("edge")
+    counted = {r["_number"]: (r["blocks"], r["draws"]) for r in laid.groupBy("_number").agg(
+        F.count(F.lit(1)).alias("blocks"), (F.sum("passes") + F.count_if(again)).alias("draws")
+    ).collect()}
+    # Draws: every block once for each pass, and once more for the rest; numbered in permuted order, pass after pass.
+    per_pass = spark.createDataFrame([(i, n) for i, (n, _) in counted.items()], "_number int, _all long")
+    draws = laid.join(per_pass, "_number").select(
+        "_number", "_block", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("turn"), "rank", "_all", "passes", again.alias("again"), "edge",
+    ).where((F.col("turn") < F.col("passes")) | F.col("again")).select(
+        "_number", "_block", (F.col("turn") * F.col("_all") + F.col("rank")).alias("at"), (F.col("edge") & (F.col("turn") == F.col("passes"))).alias("partial"),
     )
-    counted = {r["_number"]: r["n"] for r in draws.groupBy("_number").agg(F.count("*").alias("n")).collect()}
-    quotas = np.array([counted.get(i, 0) for i in range(len(listed))], np.int64)
+    quotas = np.array([counted.get(i, (0, 0))[1] for i in range(len(listed))], np.int64)
     shards = max(1, -(-int(quotas.sum()) // SHARD_DRAWS))
 
     def walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +238,7 @@ def takes(
     """Per row: id, size, source_size, target, taken (words over all copies) and the shards of its copies."""
     rows = cut_lineage(sizes(docs, id_col, text_col, source_col))
     drawn, sources, _ = plan(rows, weights, share, most, seed)
-    return rows.join(drawn, "_row").join(sources, "_number").select(
+    return _numbered(rows, sources).join(drawn, ["_row", "_number"]).select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("shards")).alias("taken"), "shards"
     )
 
@@ -214,13 +249,17 @@ def mix(
 ) -> DataFrame:
     """The mixed rows of ``docs``, repeats included: one partition holds whole shards, each in a local random order."""
     rows = cut_lineage(sizes(docs, id_col, text_col, source_col))
-    drawn, _, shards = plan(rows, weights, share, most, seed)
-    given = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_given"), F.xxhash64(docs[id_col], docs[text_col], docs[source_col]).alias("_row")
-    )
-    copies = given.join(drawn.where(F.size("shards") > 0), "_row").select("_given", "_row", F.posexplode("shards").alias("_copy", "_shard"))
+    drawn, sources, shards = plan(rows, weights, share, most, seed)
+    given = _numbered(docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_given"), _row(docs, id_col, text_col, source_col).alias("_row"),
+        docs[source_col].cast("string").alias("_source"),
+    ), sources.select("_source", "_number"))
+    copies = given.join(drawn.where(F.size("shards") > 0), ["_row", "_number"]).select("_given", "_row", F.posexplode("shards").alias("_copy", "_shard"))
     n = min(shards, common.partitions(docs.sparkSession))
-    local = copies.repartition(n, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_row", "_copy", "_shard"))
+    # Neighbouring shards in one partition, evenly: a shard goes where its number says, not where a hash does.
+    local = copies.repartitionById(n, F.floor(F.col("_shard").cast("long") * n / shards).cast("int")).sortWithinPartitions(
+        "_shard", F.xxhash64(F.lit(seed), "_row", "_copy", "_shard")
+    )
     return local.select(*common.given(docs.columns))
 
 
