@@ -76,3 +76,25 @@ def test_held_out(spark):
     right = sum(r.toxic == r.predicted for r in rows)
     caught = [r.predicted for r in rows if r.toxic == 1]
     assert right >= 0.98 * len(rows) and sum(caught) >= 0.85 * len(caught)
+
+
+def test_sample_is_bounded_and_settled(spark):
+    """A labelled id shared by thousands of texts stays within the bound; labels that disagree are settled alike on every run."""
+    docs = [(7, f"text number {i}") for i in range(3000)] + [(i, "same text") for i in range(10, 15)]
+    labels = [(7, 1)] + [(i, int(i < 13)) for i in range(10, 15)] + [(11, 0), (11, 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    take = lambda df, n: sorted((bytes(r._body), r._y) for r in toxicity.labelled(df, lab, "toxic", F.lit(True), n, "doc_id", "text").collect())
+    few = take(d, 10)
+    assert len(few) == 10 and few == take(d.repartition(7), 10)
+    assert (b"same text", 0) in take(d, 10_000) and len(take(d, 10_000)) == 3001
+
+
+def test_ties_repeats_and_long_texts(spark, grammar):
+    """Equal rows score alike, a very long text is read to its end, and columns with inner names pass through."""
+    long = "quiet words here. " * 60_000 + "you idiot, you moron, you scum"
+    d = spark.createDataFrame([(1, "you idiot", 1), (1, "you idiot", 1), (2, None, 2), (3, long, 3)], "doc_id long, text string, _given int")
+    rows = toxicity.scores(d, grammar).collect()
+    assert len(rows) == 4
+    got = sorted((r._given.doc_id, r._score) for r in rows)
+    assert got[0] == got[1] and grammar.evidence(long)[0] == pytest.approx(3 * 3.0 * 1.3)

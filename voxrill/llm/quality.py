@@ -186,7 +186,7 @@ def train(
     docs: DataFrame, labels: DataFrame, use: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", target: str = "quality"
 ) -> Model:
     """Learn from the labelled rows for which ``use`` (a condition on the labels) holds."""
-    rows = labelled(docs, labels, target, use, max_rows, id_col, text_col).select("_y", "_body")
+    rows = labelled(docs, labels, target, use, max_rows, id_col, text_col)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _features_of(batch.column(1))

@@ -198,12 +198,19 @@ def _counted(rows: DataFrame, wanted: Column, stems) -> Counter:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, use: Column, max_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _y, _body): a bounded sample of labelled rows, one for each distinct text, to learn from."""
+    """(_y, _body): at most ``max_rows`` labelled texts to learn from, each distinct text once, the same ones on every run.
+
+    An id with several labels, and a text under several ids, has the label that most of them give, 0 where
+    they are even. The bound holds for ids and, after the join, for texts, however many texts share an id.
+    """
+    most = (F.avg("_y") > 0.5).cast("int").alias("_y")
     given = labels.where(labels[target].isNotNull() & labels[id_col].isNotNull() & use).select(labels[id_col].alias("_id"), labels[target].cast("int").alias("_y"))
-    some = common.sample_by_hash(given.dropDuplicates(["_id"]), max_rows, "_id")
+    some = common.sample_by_hash(given.groupBy("_id").agg(most), max_rows, "_id")
     rows = docs.select(docs[id_col].alias("_id"), common.body(docs, text_col).alias("_body"))
-    joined = rows.join(F.broadcast(some), "_id")  # as many rows as the sample may have
-    return joined.withColumn("_digest", F.xxhash64("_body")).dropDuplicates(["_digest"])
+    joined = rows.join(F.broadcast(some), "_id").withColumn("_digest", F.xxhash64("_body"))  # some: max_rows ids at most
+    # Digests alone are ordered and cut; the texts that stay are fetched afterwards.
+    kept = common.sample_by_hash(joined.groupBy("_digest").agg(most), max_rows, "_digest")
+    return joined.select("_digest", "_body").join(F.broadcast(kept), "_digest").select("_y", "_body").distinct()
 
 
 def learn_stems(rows: DataFrame, min_share: float = 0.02, least: int = 5, purity: float = 0.75) -> dict[str, float]:
@@ -250,7 +257,7 @@ def train(
     docs: DataFrame, labels: DataFrame, use: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic"
 ) -> Grammar:
     """Learn stems and curve from the labelled rows for which ``use`` (a condition on the labels) holds."""
-    rows = cut_lineage(labelled(docs, labels, target, use, max_rows, id_col, text_col).select("_y", "_body"))
+    rows = cut_lineage(labelled(docs, labels, target, use, max_rows, id_col, text_col))
     stems = {"=" + w: DEFAULT_WEIGHT for w in INSULTS} | learn_stems(rows)
     grammar = Grammar(stems)
 
