@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from voxrill.llm import (  # noqa: F401
-    archive, chat, fingerprints, linededup, merkle, mixing, neighbours, pieces, quality, registry, simhash, substrings, toxicity,
+    archive, chat, fingerprints, linededup, merkle, middles, mixing, neighbours, pieces, quality, registry, simhash, substrings, toxicity,
 )
 
 QUERIES = registry.QUERIES
