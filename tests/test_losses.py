@@ -16,6 +16,7 @@ from voxrill.operators import sequence as Q
 from voxrill.sources import readers as R
 from voxrill.sources import writers as W
 from voxrill.streaming import progress as G
+from voxrill.streaming import state as ST
 
 
 def test_bundles_many_to_a_file(spark, tmp_path):
@@ -37,8 +38,7 @@ def test_folder_gives_language_where_the_document_does_not(spark, tmp_path):
 
 
 def _states(spark, path):
-    s = G.read_progress(spark, path).withWatermark("ts", "1 day").select("task_id", "ts", "type")
-    out = G.drain(G.stream_task_states(s), "states", "update")
+    out = G.drain(ST.task_states(G.read_progress(spark, path), late="1 day"), "states", "update")
     return {r.task_id: r.state for r in out.groupBy("task_id").agg(F.max_by("state", "epoch").alias("state")).collect()}
 
 
@@ -54,26 +54,6 @@ def test_stream_state_does_not_depend_on_arrival(spark, tmp_path):
     assert batch == _states(spark, str(tmp_path / "ev")) == {1: "FAILURE", 2: "STARTED"}
 
 
-def test_stream_state_over_two_triggers():
-    class State:
-        exists, hasTimedOut, get = False, False, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-
-        def setTimeoutTimestamp(self, t):
-            pass
-
-    import pandas as pd
-
-    at = lambda s: pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s)
-    state = State()
-    first = list(G._advance((1,), iter([pd.DataFrame({"ts": [at(5), at(9)], "type": ["progress", "result"]})]), state))
-    later = list(G._advance((1,), iter([pd.DataFrame({"ts": [at(7), at(3)], "type": ["error", "queue"]})]), state))
-    assert first[0]["state"][0] == "SUCCESS" and later[0]["state"][0] == "FAILURE"
-    assert later[0]["last_ms"][0] == first[0]["last_ms"][0]
-
-
 def test_phones_of_unknown_time_keep_the_word_before(spark):
     phones = spark.createDataFrame([(1, 0, 0.5, "a"), (1, 1, 1.5, "b"), (1, 2, None, "c"), (1, 3, 3.0, "d"), (1, 4, None, "e")], "rec long, seq int, t double, phone string")
     words = spark.createDataFrame([(1, 1.0, "w1"), (1, 2.5, "w2")], "rec long, t double, word string")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxrill.functions import scalar as S
-from voxrill.operators import stats as ST
 from voxrill.plans.registry import query, view
+from voxrill.streaming import ingest as I
 from voxrill.streaming import progress as G
+from voxrill.streaming import state as ST
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
@@ -34,13 +35,24 @@ def progress_stream(spark, d):
 view("progress_v", "SELECT user_id AS task_id, ts, event_id, value, CASE event_type WHEN 'view' THEN 'queue' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'result' ELSE 'progress' END AS type FROM events")
 
 
-@query("event_replay", "R1", ("progress_v",), """
+_REPLAY = """
 SELECT task_id, event_id, type FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS rn, max(ts) OVER (PARTITION BY task_id) AS last FROM progress_v)
 WHERE rn <= 40 AND date_diff('second', last, TIMESTAMP '2024-01-30 23:00:00') <= 36000
-""")
+"""
+NOW = "2024-01-30 23:00:00"
+
+
+@query("event_replay", "R1", ("progress_v",), _REPLAY)
 def event_replay(spark, d):
-    now = F.lit("2024-01-30 23:00:00").cast("timestamp")
-    return G.replay(progress(spark, d), now, keep=40, ttl_s=36000).select("task_id", "event_id", "type")
+    return G.replay(progress(spark, d), F.lit(NOW).cast("timestamp"), keep=40, ttl_s=36000).select("task_id", "event_id", "type")
+
+
+@query("stream_event_replay", "R1", ("progress_v",), _REPLAY)
+def stream_event_replay(spark, d):
+    """The same replay from list state of a stream, bounded per task and with a time to live."""
+    # The table runs past the time of the replay; so late a watermark lets no task go before it.
+    out = G.drain(ST.replay(progress_stream(spark, d), late="2 hours", keep=40, ttl_s=36000), "replay", "update")
+    return ST.latest_replay(out, F.lit(NOW).cast("timestamp"), ttl_s=36000).select("task_id", "event_id", "type")
 
 
 view("states_v", """
@@ -54,12 +66,12 @@ def task_states(spark, d):
     return G.task_states(progress(spark, d)).select("task_id", "state", "events")
 
 
-@query("stream_task_states", "R2", ("states_v",), "SELECT task_id, state, last_ms FROM states_v")
+@query("stream_task_states", "R2", ("states_v",), "SELECT task_id, state, last_ms, events FROM states_v")
 def stream_task_states(spark, d):
-    """The same states from a file stream with stored state."""
-    s = progress_stream(spark, d).withWatermark("ts", "10 minutes").select("task_id", "ts", "type")
-    out = G.drain(G.stream_task_states(s), "states", "update")
-    return out.groupBy("task_id").agg(F.max_by("state", "epoch").alias("state"), F.max("last_ms").alias("last_ms"))
+    """The same states from a file stream with stored state and timers; of several triggers the last one counts."""
+    out = G.drain(ST.task_states(progress_stream(spark, d).select("task_id", "ts", "type"), ttl_s=40 * 86_400), "states", "update")
+    last = F.max_by(F.struct("state", "last_ms", "events"), "epoch").alias("_l")
+    return out.where("NOT expired").groupBy("task_id").agg(last).select("task_id", "_l.*")
 
 
 _RATE = """
@@ -92,28 +104,26 @@ FROM progress_v e WHERE e.type = 'queue'
 
 @query("queue_waits", "R4", ("progress_v",), _WAITS)
 def queue_waits(spark, d):
-    p = progress(spark, d)
-    return G.first_waits(G.queue_waits(p.where("type = 'queue'"), p.where("type = 'result'"), "6 hours")).select("task_id", "wait_us")
+    return G.queue_waits(progress(spark, d), "6 hours").select("task_id", "wait_us")
 
 
 @query("stream_queue_waits", "R4", ("progress_v",), _WAITS)
 def stream_queue_waits(spark, d):
-    """The same waits from two watermarked streams."""
-    e = progress_stream(spark, d).where("type = 'queue'")
-    f = progress_stream(spark, d).where("type = 'result'")
-    return G.first_waits(G.drain(G.queue_waits(e, f, "6 hours"), "waits")).select("task_id", "wait_us")
+    """The same waits from open enqueues and dequeues that a stream keeps per task."""
+    return ST.smallest_waits(G.drain(ST.queue_waits(progress_stream(spark, d), "6 hours"), "waits", "update")).select("task_id", "wait_us")
 
 
 @query("stream_ingest_stats", "R5 A1", ("progress_v",), """
 SELECT type AS phoneme, 1 AS formant, count(value) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 4) AS stdev FROM progress_v GROUP BY type
 """)
 def stream_ingest_stats(spark, d):
-    """Observations ingested once through a stream, then statistics over the store."""
-    s = progress_stream(spark, d).select(F.col("event_id").cast("string").alias("audio_path"), F.lit(0).alias("seq"), "ts", F.col("type").alias("phoneme"), F.col("value").alias("f1"))
-    folder = G.shared_folder(spark, "ingest")
-    G.ingest_observations(s, f"{folder}/store", f"{folder}/ckpt").awaitTermination()
-    o = spark.read.schema(s.schema).parquet(f"{folder}/store")
+    """Observations taken in once through a stream that adds each trigger's moments to the version before."""
     none = F.lit(None).cast("double")
-    o = o.withColumn("f0", none).withColumn("f2", none).withColumn("f3", none)
-    m = ST.moments(o, ["phoneme"], 1, guard=False)
-    return m.select("phoneme", "formant", "n", F.round("mean", 2).alias("mean"), F.round("stdev", 4).alias("stdev"))
+    s = progress_stream(spark, d).select(
+        F.col("event_id").cast("string").alias("audio_path"), F.lit(0).alias("seq"), "ts", F.col("type").alias("phoneme"),
+        none.alias("f0"), F.col("value").alias("f1"), none.alias("f2"), none.alias("f3"),
+    )
+    folder = G.shared_folder(spark, "ingest")
+    store = I.MomentStore(spark, f"{folder}/store", {"phoneme": "string"})
+    I.ingest_moments(s, store, f"{folder}/ckpt").awaitTermination()
+    return I.statistics(store.read()).select("phoneme", "formant", "n", F.round("mean", 2).alias("mean"), F.round("stdev", 4).alias("stdev"))

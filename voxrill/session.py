@@ -15,6 +15,8 @@ _RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where a later aggregate wanted its partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Keyed state with several variables, timers and expiry needs this store; it keeps state out of the heap as well.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

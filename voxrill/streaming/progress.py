@@ -1,19 +1,16 @@
-"""Task progress events: replay, state, rate limits, queue waits, incremental ingest.
+"""Task progress events: replay, current state, rate limits and queue waits as tables; starting and draining streams.
 
-The transformations take any DataFrame, so they run on a stream and on a table
-alike; the functions that start a stream say so.
+State that a stream keeps per task is in ``state.py``, statistics that grow with a stream in ``ingest.py``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from voxrill.operators.ordered import scan
 from voxrill.schemas import PROGRESS
 from voxrill.session import shared_folder
 
@@ -24,9 +21,10 @@ EVENTS_KEPT = 100
 STATE_OF_TYPE = {"queue": "PENDING", "progress": "STARTED", "result": "SUCCESS", "error": "FAILURE"}
 
 
-def read_progress(spark: SparkSession, path: str) -> DataFrame:
+def read_progress(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Progress events arriving as JSON-lines files."""
-    return spark.readStream.schema(PROGRESS).json(path)
+    r = spark.readStream.schema(PROGRESS)
+    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).json(path)
 
 
 def replay(events: DataFrame, now: Column, keep: int = EVENTS_KEPT, ttl_s: int = EVENTS_TTL_S) -> DataFrame:
@@ -59,40 +57,6 @@ def task_states(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").agg(best.alias("state"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("events"))
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold a batch of events into the stored state; forget the task when its time runs out."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    # The earliest final state, the latest other one and the latest time; the order of arrival does not matter.
-    final, final_us, latest, latest_us, last_us = state.get if state.exists else (None, 0, None, 0, 0)
-    for b in batches:
-        us = b["ts"].astype("datetime64[us]").astype("int64")
-        if not len(us):
-            continue
-        last_us = max(last_us, int(us.max()))
-        seen = pd.DataFrame({"us": us, "s": b["type"].map(STATE_OF_TYPE)}).dropna().sort_values(["us", "s"])
-        ends = seen["s"].isin(["SUCCESS", "FAILURE"])
-        if ends.any():
-            at, name = seen[ends].iloc[0]
-            if final is None or (at, name) < (final_us, final):
-                final, final_us = name, int(at)
-        if (~ends).any():
-            at, name = seen[~ends].iloc[-1]
-            if latest is None or (at, name) > (latest_us, latest):
-                latest, latest_us = name, int(at)
-    state.update((final, final_us, latest, latest_us, last_us))
-    state.setTimeoutTimestamp(last_us // 1000 + EVENTS_TTL_S * 1000)
-    yield pd.DataFrame({"task_id": [key[0]], "state": [final or latest], "last_ms": [last_us // 1000]})
-
-
-def stream_task_states(events: DataFrame) -> DataFrame:
-    """Stateful form of ``task_states`` for a watermarked stream, with the events' time to live."""
-    return events.groupBy("task_id").applyInPandasWithState(
-        _advance, "task_id long, state string, last_ms long",
-        "final string, final_us long, latest string, latest_us long, last_us long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def rate_windows(events: DataFrame, span: str = "60 seconds", slide: str = "10 seconds", late: str = "10 minutes") -> DataFrame:
     """Requests per task in sliding windows."""
     w = F.window("ts", span, slide)
@@ -100,17 +64,21 @@ def rate_windows(events: DataFrame, span: str = "60 seconds", slide: str = "10 s
         "task_id", F.col("window.start").alias("start"), "n")
 
 
-def queue_waits(enqueued: DataFrame, dequeued: DataFrame, limit: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Wait between the enqueue and dequeue events of a task (interval join on event time)."""
-    e = enqueued.withWatermark("ts", late).select(F.col("task_id").alias("id"), F.col("ts").alias("t0"))
-    d = dequeued.withWatermark("ts", late).select("task_id", F.col("ts").alias("t1"))
-    on = (F.col("id") == F.col("task_id")) & (F.col("t1") >= F.col("t0")) & (F.col("t1") <= F.col("t0") + F.expr(f"interval {limit}"))
-    return e.join(d, on).select("task_id", "t0", "t1", F.timestamp_diff("MICROSECOND", F.col("t0"), F.col("t1")).alias("wait_us"))
-
+def queue_waits(events: DataFrame, limit: str = "1 hour", block: str = "1 day") -> DataFrame:
+    """(task_id, t0, wait_us): of every enqueue (type queue) the time to its first dequeue (type result), within the limit.
 
-def first_waits(waits: DataFrame) -> DataFrame:
-    """Of the waits of one enqueue, the one that ends with the first dequeue after it."""
-    return waits.groupBy("task_id", "t0").agg(F.min("wait_us").alias("wait_us"))
+    Enqueues and dequeues are merged in order of time, and each enqueue looks ahead to the next dequeue, so
+    there is one row for an enqueue and no pair with a later one. A task's timeline is scanned block by block.
+    """
+    e = events.where(F.col("type").isin("queue", "result")).select(
+        "task_id", F.unix_micros("ts").alias("_us"), (F.col("type") == "result").cast("int").alias("_end"), "event_id"
+    )
+    span = int(pd.Timedelta(block).total_seconds() * 1e6)
+    # At equal times an enqueue comes first, so that it finds the dequeue.
+    ahead = scan(e, ["task_id"], ["_us", "_end", "event_id"], F.floor(F.col("_us") / span), back_fills={"_next": F.when(F.col("_end") == 1, F.col("_us"))})
+    wait = F.col("_next") - F.col("_us")
+    most = int(pd.Timedelta(limit).total_seconds() * 1e6)
+    return ahead.where((F.col("_end") == 0) & (wait <= most)).select("task_id", F.timestamp_micros("_us").alias("t0"), wait.alias("wait_us"))
 
 
 def ingest_observations(observations: DataFrame, store: str, checkpoint: str, late: str = "1 day"):
@@ -129,9 +97,12 @@ def store_events(events: DataFrame, path: str, checkpoint: str):
     return dated.writeStream.format("parquet").partitionBy("date").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available now and return what it wrote, with the number of the trigger as ``epoch``."""
-    folder = shared_folder(stream.sparkSession, name)
+def drain(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over what is available now and return what it wrote, with the number of the trigger as ``epoch``.
+
+    With a ``folder`` of its own a stream goes on from its checkpoint there, and the result holds earlier runs too.
+    """
+    folder = folder or shared_folder(stream.sparkSession, name)
     out = f"{folder}/out"
 
     def save(batch: DataFrame, epoch: int) -> None:
