@@ -1,9 +1,14 @@
-"""Weight search in blocks, the refined box, recording means without zeros, and identity rows."""
+"""Weight search in blocks and by counting, the refined box, recording means without zeros, and identity rows."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from voxrill.operators import fit as FT
 from voxrill.operators import history as H
+from voxrill.operators import search as SE
+from voxrill.session import cut_lineage
 
 
 def _z(spark):
@@ -48,3 +53,61 @@ def test_identity(spark):
     toks = F.filter(F.split(F.lower("said"), r"[^a-z]+"), lambda t: t != "")
     got = {r.id: (r.script_id, r.spoken_text_norm, r.spoken_text_tokens) for r in H.script_identity(s, presets, F.col("said"), toks).collect()}
     assert got == {1: ("p0", "a b c", ["a", "b", "c"]), 2: ("custom", "q", ["q"]), 3: (None, "", []), 4: ("custom", "a b c", ["a", "b", "c"]), 5: ("custom", "!", [])}
+
+
+def _owned(spark, n=90, seed=4):
+    """Phones of utterances with ties, lacking values, unknown sexes and speakers of different size."""
+    rng = random.Random(seed)
+    phones = [(u, *(None if rng.random() < 0.05 else rng.choice([round(rng.uniform(-1, 1), 1), rng.uniform(-1, 1)]) for _ in range(3))) for u in range(n) for _ in range(rng.randrange(0, 9))]
+    phones += [(u, 5.0, 5.0, 5.0) for u in range(n, n + 8)]  # scores of exactly 1
+    owners = [(u, min(u % 17, 9), ["M", "F", "F", "M", None, "X"][min(u % 17, 9) % 6]) for u in range(n + 8)]
+    return spark.createDataFrame(phones, "utt long, z1 double, z2 double, z3 double"), spark.createDataFrame(owners, "utt long, spk long, sex string")
+
+
+@pytest.mark.parametrize("unit", ["utt", "spk"])
+@pytest.mark.parametrize("buckets, few", [(256, 4096), (8, 2)])
+def test_counting_equals_a_row_per_score(spark, unit, buckets, few):
+    z, owners = _owned(spark)
+    grid = FT.simplex_grid(spark, 7)
+    units = SE.unit_rows(z, "utt", owners, unit, 3, "s")
+    scores = FT.search(z, "utt", grid, lambda s: s).join(owners, "utt")
+    if unit == "spk":
+        scores = FT.speaker_scores(scores, "spk")
+    scores = cut_lineage(scores)
+    acc = F.col("correct") / F.col("total")
+    got = SE.Search(units, grid, 3, buckets, few).decisions().groupBy("cand").agg(F.avg(acc).alias("mean_acc"), F.stddev_pop(acc).alias("std_acc"))
+    shape = lambda df: {r.cand: (round(r.mean_acc, 9), round(r.std_acc, 9)) for r in df.collect()}
+    assert shape(got) == shape(FT.kfold_accuracy(scores, unit, 3, "s"))
+    fit = lambda df: {r.cand: round(r.acc, 9) for r in df.collect()}
+    assert fit(SE.fitted(units, grid)) == fit(FT.full_fit_accuracy(scores))
+
+
+def test_thresholds_among_very_close_scores(spark):
+    """Hundreds of scores within 1e-9 of each other: buckets are split until the median can be fetched."""
+    z = spark.createDataFrame([(u, u * 1e-12, 0.0, 0.0) for u in range(501)], "utt long, z1 double, z2 double, z3 double")
+    owners = z.select("utt", F.lit("M").alias("sex"))
+    grid = FT.simplex_grid(spark, 1)
+    found = SE.Search(SE.unit_rows(z, "utt", owners, "utt", 1, "s"), grid, 1, 8, 4).thresholds()
+    assert found[:, 0].tolist() == [0.5, 0.5, 0.5 + 250 * 1e-12]
+
+
+def test_search_without_units_and_with_too_many_candidates(spark, monkeypatch):
+    z, owners = _owned(spark)
+    none = SE.unit_rows(z.limit(0), "utt", owners, "utt", 3, "s")
+    assert SE.cross_validated(none, FT.simplex_grid(spark, 2), 3).count() == 0
+    monkeypatch.setattr(SE, "MAX_CANDIDATES", 5)
+    with pytest.raises(ValueError, match="candidates"):
+        SE.Search(none, FT.simplex_grid(spark, 2), 3)
+
+
+def test_what_tasks_send_does_not_grow_with_the_units(spark):
+    """Ten times the utterances, the same rows behind the scoring."""
+    grid = FT.simplex_grid(spark, 3)
+    sent = []
+    for n in (90, 900):
+        z, owners = _owned(spark, n)
+        units = SE.unit_rows(z, "utt", owners, "utt", 3, "s").coalesce(2)
+        s = SE.Search(units, grid, 3)
+        sent.append(s.decisions().count())
+        assert s.k == 3 and s.thresholds().shape == (grid.count(), 3)
+    assert sent[0] == sent[1] == 3 * grid.count()

@@ -9,6 +9,7 @@ from voxrill.functions import scalar as S
 from voxrill.operators import audit as AU
 from voxrill.operators import fit as FT
 from voxrill.operators import phones as P
+from voxrill.operators import search as SE
 from voxrill.operators.quantiles import quantiles
 from voxrill.plans import adapters as A
 from voxrill.plans import phone_queries as PQ
@@ -83,8 +84,15 @@ _cv_views("spk_cv_v", "spk_cand_v", "speaker_id", ("spk_cand_v",))
 
 @query("weight_grid_cv", "A27", ("cv_v",), "SELECT cand, round(mean_acc, 6) AS mean_acc, round(std_acc, 6) AS std_acc FROM cv_v")
 def weight_grid_cv(spark, d):
-    cv = evaluated(spark, d, FT.simplex_grid(spark, G), lambda s: FT.kfold_accuracy(cut_lineage(s), "recording_id", K, SEED))
-    return cv.select("cand", *r6("mean_acc", "std_acc"))
+    return utterance_cv(spark, d, FT.simplex_grid(spark, G)).select("cand", *r6("mean_acc", "std_acc"))
+
+
+def units(spark, d, unit):
+    return SE.unit_rows(utterance_z(spark, d), "recording_id", who(spark, d), unit, K, SEED)
+
+
+def utterance_cv(spark, d, candidates):
+    return SE.cross_validated(units(spark, d, "recording_id"), candidates, K)
 
 
 @query("speaker_grid_cv", "A28", ("spk_cv_v",), "SELECT cand, round(mean_acc, 6) AS mean_acc, round(std_acc, 6) AS std_acc FROM spk_cv_v")
@@ -93,7 +101,7 @@ def speaker_grid_cv(spark, d):
 
 
 def speaker_cv(spark, d, candidates):
-    return evaluated(spark, d, candidates, lambda s: FT.kfold_accuracy(cut_lineage(FT.speaker_scores(s, "speaker_id")), "speaker_id", K, SEED))
+    return SE.cross_validated(units(spark, d, "speaker_id"), candidates, K)
 
 
 @query("full_fit", "A29", ("cand_v",), """
@@ -101,7 +109,7 @@ SELECT c.cand, round(avg(CASE WHEN (sex = 'M' AND score <= thr) OR (sex = 'F' AN
 FROM cand_v c JOIN (SELECT cand, quantile_cont(score, 0.5) AS thr FROM cand_v GROUP BY cand) t ON c.cand = t.cand GROUP BY c.cand
 """)
 def full_fit(spark, d):
-    return evaluated(spark, d, FT.simplex_grid(spark, G), lambda s: FT.full_fit_accuracy(cut_lineage(s))).select("cand", *r6("acc"))
+    return SE.fitted(units(spark, d, "recording_id"), FT.simplex_grid(spark, G)).select("cand", *r6("acc"))
 
 
 view("winner_v", """
