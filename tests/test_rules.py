@@ -236,3 +236,25 @@ def test_prior_attempt_against_loop(spark):
         ok = [s for s in sess if s[0] == u and s[3] < at and ((script != "custom" and s[4] == script) or sim(toks, s[5]) >= 0.7)]
         want = max((s[3] for s in ok), default=None)
         assert (by_id[got[i]][3] if got[i] is not None else None) == want
+
+
+def test_windows_from_panes(spark):
+    """Every window of every length against plain slicing; silent windows count, windows past the end do not."""
+    import random
+    import statistics
+
+    rng = random.Random(6)
+    dur = {1: 31.5, 2: 9.0, 3: 2.0}
+    frames = [(r, rng.uniform(0, d), float(rng.choice([100, 150, 151, 200]))) for r, d in dur.items() for _ in range(int(3 * d)) if rng.random() < 0.6]
+    frames = [f for f in frames if not 12 < f[1] < 20] + [(1, 5.0, None)]
+    got = {(r.r, r.length_s, r.win): (r.n, r["median"]) for r in Q.pane_windows(
+        spark.createDataFrame(frames, "r int, t double, f0 double"), spark.createDataFrame(list(dur.items()), "r int, dur double"), ["r"], [3, 5, 10], 1.0, 2).collect()}
+    want = {}
+    for r, d in dur.items():
+        for n in (3, 5, 10):
+            for w in range(int(d - n) + 1 if d >= n else 0):
+                v = [f for k, t, f in frames if k == r and w <= t < w + n and f is not None]
+                want[r, n, w] = (len(v), statistics.median(v) if len(v) >= 2 else None)
+    assert got == want and any(n == 0 for n, _ in want.values())
+    with pytest.raises(ValueError):
+        Q.pane_windows(None, None, ["r"], [3], 2.0, 1)

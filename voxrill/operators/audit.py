@@ -131,13 +131,15 @@ def stage_profile(events: DataFrame, keys: Sequence[str], at: str, label: str, t
     return per.groupBy("stage").agg(F.count(F.lit(1)).alias("runs"), F.avg("secs").alias("mean_s"), F.avg(share).alias("mean_share"))
 
 
-def window_robustness(medians_: DataFrame, windows: DataFrame, lo: float, hi: float) -> DataFrame:
-    """Computable and in-band counts over all windows, and percentiles of the window medians."""
+def window_robustness(windows: DataFrame, lo: float, hi: float, frame_s: float) -> DataFrame:
+    """Per window length: all, computable and in-band windows, and percentiles of their medians and of their voiced seconds.
+
+    windows: (length_s, n, median) as ``sequence.pane_windows`` gives them.
+    """
     m = F.col("median")
-    base = medians_.agg(F.count(m).alias("computable"), F.count_if(m.between(lo, hi)).alias("in_band"))
-    q = quantiles(medians_.select("median"), [], {"m": m}, {"_p10": 0.1, "_p25": 0.25, "_p50": 0.5, "_p75": 0.75, "_p90": 0.9})
-    # Three single aggregate rows side by side.
-    return windows.join(base, F.lit(True)).join(q, F.lit(True))
+    base = windows.groupBy("length_s").agg(F.count(F.lit(1)).alias("windows"), F.count(m).alias("computable"), F.count_if(m.between(lo, hi)).alias("in_band"))
+    points = {"_p10": 0.1, "_p25": 0.25, "_p50": 0.5, "_p75": 0.75, "_p90": 0.9}
+    return base.join(quantiles(windows, ["length_s"], {"m": m, "v": F.col("n") * frame_s}, points), "length_s")
 
 
 # --- category evaluation -------------------------------------------------------------------------

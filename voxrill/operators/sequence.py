@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxrill.functions import scalar as S
 from voxrill.operators.ordered import islands, neighbours, scan
-from voxrill.operators.quantiles import medians
+
 
 
 def phone_ends(items: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, start: str = "start") -> DataFrame:
@@ -375,11 +375,29 @@ def within_budget(rows: DataFrame, keys: Sequence[str], at: str, tie: str, size:
     return out.where(F.col("used") <= budget).drop("_at", "_tie")
 
 
-def sliding_medians(frames: DataFrame, keys: Sequence[str], length_s: float, step_s: float, duration: str, min_count: int) -> DataFrame:
-    """Median per full window of ``length_s`` every ``step_s``; windows with few values have none."""
-    t = F.col("t")
-    first = F.greatest(F.lit(0), F.floor((t - length_s) / step_s) + 1)
-    last = F.least(F.floor(t / step_s), F.floor((F.col(duration) - length_s) / step_s))
-    hits = frames.where(first <= last).select(*keys, "f0", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("win"))
-    m = medians(hits, [*keys, "win"], {"median": F.col("f0")}, counts=True)
-    return m.select(*keys, "win", F.col("median_n").alias("n"), F.when(F.col("median_n") >= min_count, F.col("median")).alias("median"))
+def pane_windows(
+    frames: DataFrame, recordings: DataFrame, keys: Sequence[str], lengths: Sequence[int], step_s: float, min_count: int, duration: str = "dur",
+) -> DataFrame:
+    """(keys, length_s, win, n, median) of every full window of every length, one step apart.
+
+    frames: (keys, t, f0), voiced ones; recordings: (keys, duration). Frames are counted once, by value, in panes
+    of one step; windows of all lengths are put together from the same panes, so what is multiplied are counts,
+    not frames. A window with fewer than ``min_count`` values has no median; one without any has n = 0.
+    """
+    if any(round(n / step_s) * step_s != n for n in lengths):
+        raise ValueError("a window is a whole number of steps long")
+    pane = F.floor(F.col("t") / step_s).cast("long")
+    counts = frames.where(F.col("f0").isNotNull()).groupBy(*keys, pane.alias("_pane"), "f0").agg(F.count(F.lit(1)).alias("_c"))
+    last = lambda n: F.floor((F.col(duration) - n) / step_s).cast("long")
+    # Every window once without a value, so that silent ones are there too.
+    spans = F.array(*[F.struct(F.lit(n).alias("length_s"), last(n).alias("last"), F.lit(round(n / step_s)).cast("long").alias("panes")) for n in lengths])
+    each = recordings.select(*keys, F.explode(spans).alias("_l")).where("_l.last >= 0")
+    empty = each.select(*keys, "_l.length_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_l.last"))).alias("win"), F.lit(None).cast("double").alias("f0"), F.lit(1).cast("long").alias("_c"))
+    spread = counts.select(*keys, "_pane", "f0", "_c", F.explode(F.lit(list(lengths))).alias("length_s"))
+    first = F.greatest(F.lit(0).cast("long"), F.col("_pane") - F.round(F.col("length_s") / step_s).cast("long") + 1)
+    filled = spread.select(*keys, "length_s", F.explode(F.sequence(first, F.col("_pane"))).alias("win"), "f0", "_c")
+    both = empty.withColumn("_full", F.lit(True)).unionByName(filled.withColumn("_full", F.lit(False)))
+    n = F.coalesce(F.sum(F.when(F.col("f0").isNotNull(), F.col("_c"))), F.lit(0))
+    # A window holds no more values than its length has frames, so it fits the built-in aggregate. Windows past the end have no row of their own.
+    out = both.groupBy(*keys, "length_s", "win").agg(n.alias("n"), F.percentile("f0", 0.5, F.col("_c")).alias("_m"), F.max("_full").alias("_full"))
+    return out.where("_full").select(*keys, "length_s", "win", "n", F.when(F.col("n") >= min_count, F.col("_m")).alias("median"))

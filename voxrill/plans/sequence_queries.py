@@ -319,9 +319,30 @@ def chunk_merge(spark, d):
     return out.select("recording_id", "ref", *r6("t"), F.col("word_index").cast("long").alias("word_index"))
 
 
-@query("chunk_plan", "W19 D2")
+@query("chunk_plan", "W19 D2", ("timeline_v", "mids_v"), """
+SELECT * FROM (WITH RECURSIVE w AS (SELECT recording_id, ref, t / 18 AS s, (t + value / 2) / 18 AS e FROM timeline_v WHERE kind IN ('signup', 'error')),
+r AS (
+    SELECT recording_id, max(e) AS total FROM (SELECT *, lag(e) OVER (PARTITION BY recording_id ORDER BY s, ref) AS was FROM w) GROUP BY recording_id
+    HAVING count(*) >= 2 AND count(*) FILTER (s > was) >= 2 AND max(e) BETWEEN 6 AND 160
+), cuts AS (SELECT recording_id, total, mid, row_number() OVER (PARTITION BY recording_id ORDER BY mid) AS i, count(*) OVER (PARTITION BY recording_id) AS n FROM mids_v JOIN r USING (recording_id)),
+wish AS (SELECT recording_id, any_value(total) AS total, least(8, greatest(2, CAST(floor(any_value(total) / 10) AS BIGINT)), any_value(n) + 1) AS parts FROM cuts GROUP BY recording_id),
+plan AS (
+    SELECT recording_id, 0 AS i, 0.0::DOUBLE AS at_s, 0 AS cut, 0.0::DOUBLE AS longest, 1e9::DOUBLE AS shortest, CAST([] AS DOUBLE[]) AS mids FROM wish
+    UNION ALL
+    SELECT c.recording_id, c.i, c.mid, p.cut + 1, greatest(p.longest, c.mid - p.at_s), least(p.shortest, c.mid - p.at_s), list_append(p.mids, c.mid)
+    FROM plan p JOIN cuts c ON c.recording_id = p.recording_id AND c.i > p.i AND c.mid - p.at_s BETWEEN 3 AND 20 JOIN wish v ON v.recording_id = p.recording_id AND p.cut + 1 < v.parts
+), whole AS (
+    SELECT p.recording_id, total, cut, mids, greatest(longest, total - at_s) AS longest, least(shortest, total - at_s) AS shortest
+    FROM plan p JOIN wish USING (recording_id) WHERE cut > 0 AND total - at_s BETWEEN 3 AND 20
+), most AS (SELECT * FROM whole QUALIFY cut = max(cut) OVER (PARTITION BY recording_id)),
+near AS (SELECT * FROM most QUALIFY longest <= min(longest) OVER (PARTITION BY recording_id) + 1e-6),
+best AS (SELECT recording_id, total, mids FROM (SELECT * FROM near QUALIFY shortest >= max(shortest) OVER (PARTITION BY recording_id) - 1e-12)
+    QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY mids) = 1)
+SELECT recording_id, chunk, round(CASE chunk WHEN 0 THEN 0 ELSE mids[chunk] END, 6) AS start, round(coalesce(mids[chunk + 1], total), 6) AS "end", chunk = len(mids) AS is_last
+FROM (SELECT *, unnest(range(0, len(mids) + 1)) AS chunk FROM best))
+""")
 def chunk_plan(spark, d):
-    """Balanced chunk plan; checked against exhaustive search in the tests."""
+    """Balanced chunk plan; tests compare with exhaustive search, the check SQL walks through all plans."""
     recs = Q.chunkable(words(spark, d), REC, F.floor(F.col("start") / 5.0))
     cand = Q.cut_candidates(silences(spark, d), words(spark, d), REC, 5.0)
     return Q.plan_chunks(cand, recs, REC).select("recording_id", "chunk", *r6("start", "end"), "is_last")
@@ -421,24 +442,22 @@ def stage_profile(spark, d):
 @query("sliding_robustness", "A37", ("timeline_v",), """
 SELECT length_s, count(*) AS windows, count(median) AS computable, count(*) FILTER (median BETWEEN 85 AND 105) AS in_band,
   round(quantile_cont(median, 0.1), 6) AS m_p10, round(quantile_cont(median, 0.25), 6) AS m_p25, round(quantile_cont(median, 0.5), 6) AS m_p50,
-  round(quantile_cont(median, 0.75), 6) AS m_p75, round(quantile_cont(median, 0.9), 6) AS m_p90
-FROM (SELECT length_s, recording_id, win, CASE WHEN count(v) >= 3 THEN quantile_cont(v, 0.5) END AS median FROM (
+  round(quantile_cont(median, 0.75), 6) AS m_p75, round(quantile_cont(median, 0.9), 6) AS m_p90,
+  round(quantile_cont(secs, 0.1), 6) AS v_p10, round(quantile_cont(secs, 0.25), 6) AS v_p25, round(quantile_cont(secs, 0.5), 6) AS v_p50,
+  round(quantile_cont(secs, 0.75), 6) AS v_p75, round(quantile_cont(secs, 0.9), 6) AS v_p90
+FROM (SELECT length_s, recording_id, win, CASE WHEN count(v) >= 3 THEN quantile_cont(v, 0.5) END AS median, count(v) * 0.5::DOUBLE AS secs FROM (
     SELECT g.length_s, g.recording_id, g.win, CASE WHEN kind <> 'view' THEN 60 + value END AS v
     FROM (SELECT length_s, recording_id, unnest(range(0, CAST(floor((dur - length_s) / 30) AS BIGINT) + 1)) AS win
-          FROM (SELECT recording_id, max(t) AS dur, unnest([90, 300]) AS length_s FROM timeline_v GROUP BY recording_id)) g
+          FROM (SELECT recording_id, max(t) AS dur, unnest([90, 300, 600]) AS length_s FROM timeline_v GROUP BY recording_id)) g
     LEFT JOIN timeline_v f ON f.recording_id = g.recording_id AND f.t >= g.win * 30 AND f.t < g.win * 30 + g.length_s) GROUP BY ALL)
 GROUP BY length_s
 """)
 def sliding_robustness(spark, d):
+    """Three window lengths from the same panes, with percentiles of medians and of voiced time."""
     from voxrill.operators.audit import window_robustness
 
     t = A.timeline(spark, d)
     dur = t.groupBy("recording_id").agg(F.max("t").alias("dur"))
-    voiced = t.where("kind <> 'view'").join(dur, "recording_id").select("recording_id", "t", (60 + F.col("value")).alias("f0"), "dur")
-    out = None
-    for length in (90, 300):
-        m = Q.sliding_medians(voiced, REC, float(length), 30.0, "dur", 3)
-        n = dur.where(F.col("dur") >= length).agg(F.sum(F.floor((F.col("dur") - length) / 30) + 1).alias("windows"))
-        one = window_robustness(m, n, 85.0, 105.0).select(F.lit(length).alias("length_s"), "windows", "computable", "in_band", *r6("m_p10", "m_p25", "m_p50", "m_p75", "m_p90"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    voiced = t.where("kind <> 'view'").select("recording_id", "t", (60 + F.col("value")).alias("f0"))
+    out = window_robustness(Q.pane_windows(voiced, dur, REC, [90, 300, 600], 30.0, 3), 85.0, 105.0, 0.5)
+    return out.select("length_s", "windows", "computable", "in_band", *r6(*[f"{m}_p{p}" for m in "mv" for p in (10, 25, 50, 75, 90)]))
