@@ -129,3 +129,24 @@ def test_event_store(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).first()
     assert got["task_id"] == 1 and str(got["date"]) == "2024-01-02"
     assert SC.PROGRESS.fieldNames()[0] == "task_id"
+
+
+def test_result_files_missing_broken_and_empty(spark, tmp_path):
+    texts = {"a b": '{"phones":[{"phoneme":"a"}],"medianResonance":0.25}', "c": "{oops", "d": '{"phones":[]}', "e": "\n", "é": '{"phones":[{"phoneme":"x"}]}\n'}
+    for name, text in {**texts, "none": ""}.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    (tmp_path / "other.txt").write_text("not a result")
+    m = spark.createDataFrame([(k,) for k in [*texts, "gone", "none"]], "spk string")
+    got = {r.spk: (r.reason, r.result and r.result.medianResonance) for r in R.join_results(m, R.read_results(spark, str(tmp_path), "spk"), "spk", "raw").collect()}
+    assert got["a b"] == (None, 0.25) and got["é"][0] is None
+    assert [got[k][0] for k in ("c", "d", "e", "gone", "none")] == ["json decode", "zero phones", "json decode", "no raw json", "no raw json"] and len(got) == 7
+
+
+def test_variants_are_shifted_and_scored_apart(spark):
+    from voxrill.operators import audit as AU
+
+    phones = spark.createDataFrame([(7, 100.0, 500.0, None, 2500.0)], "recording_id long, f0 double, f1 double, f2 double, f3 double")
+    got = {r.variant: r for r in AU.shifted_phones(phones).collect()}
+    assert len(got) == 6 and len({r.recording_id for r in got.values()}) == 6 and {r.source_id for r in got.values()} == {7}
+    assert got["V1"].f0 == pytest.approx(125.992105) and got["V1"].f1 == 500.0
+    assert got["V4"].f3 == pytest.approx(2500 / 1.2) and got["V4"].f2 is None and got["V3"].f1 == 600.0

@@ -209,6 +209,29 @@ def extreme_files(files: DataFrame, keys: Sequence[str], value: str) -> DataFram
     )
 
 
+# --- fixed values: what the perturbed variants of a recording multiply (pitch by four semitones, formants by a fifth) ---
+VARIANTS = {"V0": (1.0, 1.0), "V0p": (1.0, 1.0), "V1": (2 ** (4 / 12), 1.0), "V2": (2 ** (-4 / 12), 1.0), "V3": (1.0, 1.2), "V4": (1.0, 1 / 1.2)}
+
+
+def shifted_phones(phones: DataFrame, variants: Mapping[str, tuple[float, float]] = VARIANTS) -> DataFrame:
+    """Every phone once for each variant, its pitch and its formants multiplied; a recording's variants are recordings of their own.
+
+    The column ``source_id`` keeps the recording, ``recording_id`` names recording and variant.
+    """
+    table = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(p).alias("p"), F.lit(f).alias("f")) for v, (p, f) in variants.items()])
+    each = phones.withColumn("_v", F.explode(table))
+    shifted = {"f0": F.col("f0") * F.col("_v.p"), **{c: F.col(c) * F.col("_v.f") for c in ("f1", "f2", "f3")}}
+    return each.withColumns({
+        **shifted, "source_id": F.col("recording_id"), "variant": F.col("_v.variant"),
+        "recording_id": F.concat_ws(":", F.col("recording_id").cast("string"), F.col("_v.variant")),
+    }).drop("_v")
+
+
+def variant_runs(summaries: DataFrame) -> DataFrame:
+    """(lang, variant, f0, score): medians over the recordings' median pitch and score."""
+    return medians(summaries, ["lang", "variant"], {"f0": F.col("median_pitch"), "score": F.col("median_resonance")})
+
+
 def compare_variants(runs: DataFrame, f0_tol: float = 0.5, score_tol: float = 0.005, gap: float = 0.05) -> DataFrame:
     """Checks per language over variants V0, V0p, V1..V4: repeatability, direction, amplitude."""
     keys = ["V0", "V0p", "V1", "V2", "V3", "V4"]
@@ -222,7 +245,7 @@ def compare_variants(runs: DataFrame, f0_tol: float = 0.5, score_tol: float = 0.
         sure((F.abs(f0["V0"] - f0["V0p"]) <= f0_tol) & (F.abs(sc["V0"] - sc["V0p"]) <= score_tol), "repeatable"),
         sure((f0["V1"] > f0["V0"]) & (f0["V0"] > f0["V2"]), "pitch_direction"),
         sure(sc["V3"] > sc["V4"], "formant_direction"),
-        sure(sc["V3"] - sc["V4"] >= gap, "formant_amplitude"),
+        sure(sc["V3"] - sc["V4"] >= gap, "formant_amplitude"), (sc["V3"] - sc["V4"]).alias("score_gap"), (f0["V1"] / f0["V2"]).alias("pitch_ratio"),
     )
 
 

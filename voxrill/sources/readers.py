@@ -231,6 +231,17 @@ def observations(lines: DataFrame) -> DataFrame:
 RESULT_JSON = "medianResonance double, meanResonance double, phones array<struct<phoneme:string,expected:string,F:array<double>,resonance:double>>"
 
 
+def read_results(spark: SparkSession, path: str, key: str, pattern: str = r"([^/]+)\.json$") -> DataFrame:
+    """(key, raw): one result file per session below ``path``, its name (or what ``pattern`` finds in its path) as the key.
+
+    Files are read whole, broken ones too, so that ``join_results`` can tell them from missing ones. Spark passes
+    over files of no bytes at all, so those count as missing.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    found = F.regexp_extract(F.url_decode("path"), pattern, 1)
+    return files.select(found.alias(key), F.col("content").cast("string").alias("raw")).where(F.col(key) != "")
+
+
 def join_results(manifest: DataFrame, raw: DataFrame, key: str, text: str) -> DataFrame:
     """Manifest rows with their parsed result and the reason where there is none."""
     parsed = F.from_json(F.col(text), RESULT_JSON, {"mode": "PERMISSIVE"})
