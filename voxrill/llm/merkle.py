@@ -188,7 +188,8 @@ def manifest(
         docs[id_col].alias("_id"), F.coalesce(F.concat(F.lit("+"), source), F.lit("")).alias("_group"), leaf_of(*[docs[c] for c in columns]).alias("_digest"),
         F.when(F.lit(True) if when is None else when, altered).alias("_altered"),
     )
-    leaves = cut_lineage(numbered(rows, "_group", ["_id", "_digest"]))
+    # Hashed once: the range exchange reads its rows twice, once to find the ranges.
+    leaves = cut_lineage(numbered(cut_lineage(rows), "_group", ["_id", "_digest"]))
     if leaves.isEmpty():
         return leaves.select(F.col("_id").alias(id_col), *[F.lit(None).cast(t).alias(c) for c, t in _RESULT])
     ascent = _ascent(leaves, depth)
