@@ -69,6 +69,46 @@ def test_bit_slices():
     assert (near == want).all()
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 7, 14, 22, 63, 64])
+@pytest.mark.parametrize("count", [1, 63, 64, 65, 300])
+def test_counters_of_all_sizes(radius, count):
+    """Pairs at distances around the radius, and a chunk compared with itself: each pair once, no row with itself."""
+    rng = np.random.default_rng(radius)
+    block = rng.integers(0, 2**64, count, dtype=np.uint64)
+    for i in range(1, count):  # relatives of an earlier row
+        block[i] = block[rng.integers(0, i)]
+        for b in rng.permutation(64)[: rng.integers(0, min(64, radius + 3) + 1)]:
+            block[i] ^= np.uint64(1) << np.uint64(b)
+    want = np.bitwise_count(block[:, None] ^ block[None, :]) <= radius
+    sliced = simhash.planes(block)
+    assert (simhash.close(block, sliced, count, radius) == want).all()
+    earlier = np.arange(count)[None, :] < np.arange(count)[:, None]
+    assert (simhash.close(block, sliced, count, radius, np.arange(count)) == (want & earlier)).all()
+
+
+def test_far_words_leave_early():
+    """Words without a near fingerprint leave before the last bits, although the queries stand in the block."""
+    rng = np.random.default_rng(3)
+    block = rng.integers(0, 2**64, 4000, dtype=np.uint64)  # the last word has padding
+    work = []
+    near = simhash.close(block[-64:], simhash.planes(block), len(block), 2, np.arange(3936, 4000), work)
+    assert not near.any()
+    assert work[0] == 62 * 64 + 31  # words with lanes of earlier rows: 62 for each query, one more for the last 31
+    assert len(work) < 8 and sum(work) < 3 * work[0]
+
+
+def test_exact_route_loses_no_pair(spark):
+    """Buckets of rare shingles against all exact similarities, with texts of few words, copies and none."""
+    texts = pairs_of_all_similarities(80, 12) + ["", None, "a b c d e f g h i", "a b c d e f g h i j", "a b c d e f g h", "one", "one", "a b c d e f g h i"]
+    passage = " ".join("p%d" % k for k in range(60))
+    texts += ["%s tail%d" % (passage, i) for i in range(30)]
+    want, seen = plain_similar([t or "" for t in texts])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for chunk in (simhash.CHUNK, 8):
+        assert {r.doc_id for r in simhash.keep_one(df, chunk=chunk, exact=True).collect()} == want
+    assert simhash.keep_one(df.limit(0), exact=True).count() == 0
+
+
 def test_bands_lose_no_pair():
     rng = random.Random(2)
     keys = simhash._bands(2)

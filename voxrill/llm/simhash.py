@@ -4,8 +4,8 @@ Equal fingerprints are one row from the start. Two fingerprints within radius r
 bands of bits, and on the rest of the bits, which differ in at most r places as well, on one of r + 1
 sub-bands; so each fingerprint is sent once for each pair of band and sub-band, to a bucket of close
 relatives. Inside a bucket the bits stand in vertical planes, one machine word holding the same bit of
-64 fingerprints: a query adds its differing bits to all 64 distances at once, in carry-save counters
-that stop at radius + 1, and leaves a block as soon as all its distances exceed the radius. A bucket
+64 fingerprints: a query adds its differing bits to all 64 distances at once, in vertical binary counters
+fed by carry-save adders, and leaves a word as soon as all its distances exceed the radius. A bucket
 sends on only the links that join it up, at most as many as it has rows; components follow from those.
 
 Buckets above a bounded size are dealt into chunks, and pairs of chunks are compared in tasks of their
@@ -127,24 +127,64 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
-def close(queries: np.ndarray, block: np.ndarray, count: int, radius: int) -> np.ndarray:
+def _ones_from(lanes: np.ndarray) -> np.ndarray:
+    """Words whose bits from the given lane on are set; all for lane 0 or less, none from 64 on."""
+    return np.where(lanes >= 64, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) << np.clip(lanes, 0, 63).astype(np.uint64))
+
+
+def close(queries: np.ndarray, block: np.ndarray, count: int, radius: int, before: np.ndarray | None = None, work: list[int] | None = None) -> np.ndarray:
     """For each query, which of the ``count`` fingerprints of a bit-sliced block lie within the radius.
 
-    The distances are kept in ``radius`` + 1 saturating planes: plane k holds the places whose distance
-    is at least k + 1. Words in which every distance exceeds the radius are given up early.
+    With ``before``, a query is compared only with the lanes below its number there: its own place, where a
+    chunk is compared with itself.
+
+    A distance is a binary counter that stands vertically in a few planes. It starts so that it overflows
+    when it passes the radius, and that overflow sticks. Differing bits are added eight at a time, by
+    carry-save adders that take two words of a weight and pass one carry on. A word of 64 lanes leaves the
+    working set as soon as all its lanes have overflowed; lanes that are padding or not asked for count as
+    overflowed from the start. ``work`` gets the number of words compared at each eight bits.
     """
-    q = len(queries)
-    at_least = np.zeros((radius + 1, q, block.shape[1]), np.uint64)
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b in range(BITS):
-        flip = np.where((queries >> np.uint64(b)) & np.uint64(1), ones, np.uint64(0))[:, None]
-        carry = block[b][None, :] ^ flip
-        for k in range(radius + 1):
-            at_least[k], carry = at_least[k] | carry, at_least[k] & carry
-        if b % 8 == 7 and (at_least[radius] == ones).all():
-            return np.zeros((q, count), bool)
-    near = np.unpackbits((~at_least[radius]).view(np.uint8), axis=1, bitorder="little")
-    return near[:, :count].astype(bool)
+    words = block.shape[1]
+    last = np.full(len(queries), count) if before is None else np.minimum(before, count)
+    over = _ones_from(last[:, None] - 64 * np.arange(words)[None, :])
+    query, word = np.nonzero(over != ones)
+    over = over[query, word]
+    levels = int(radius).bit_length()  # 2 ** levels > radius
+    start = 2**levels - (radius + 1)
+    counter = [np.full(len(over), ones if start >> k & 1 else np.uint64(0)) for k in range(levels)]
+    set_bits = [np.where(queries >> np.uint64(b) & np.uint64(1), ones, np.uint64(0)) for b in range(BITS)]
+
+    def add(level: int, x: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+        """Adds one or two words of a weight; the carry has the next weight. Beyond the counter it is overflow."""
+        if level >= levels:
+            over[...] |= x if y is None else x | y
+            return np.zeros_like(x)
+        held = counter[level]
+        if y is None:
+            counter[level] = held ^ x
+            return held & x
+        half = held ^ x
+        counter[level] = half ^ y
+        return (held & x) | (half & y)
+
+    for at in range(0, BITS, 8):
+        if not len(over):
+            break
+        if work is not None:
+            work.append(len(over))
+        d = [np.take(block[b], word) ^ np.take(set_bits[b], query) for b in range(at, at + 8)]
+        twos = [add(0, d[k], d[k + 1]) for k in range(0, 8, 2)]
+        fours = [add(1, twos[k], twos[k + 1]) for k in (0, 2)]
+        carry = add(2, *fours)
+        for level in range(3, levels + 1):
+            carry = add(level, carry)
+        alive = over != ones
+        if 4 * np.count_nonzero(alive) <= 3 * len(alive):  # copying out pays when a quarter has left
+            query, word, over, counter = query[alive], word[alive], over[alive], [c[alive] for c in counter]
+    near = np.zeros((len(queries), words, 64), bool)
+    near[query, word] = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return near.reshape(len(queries), -1)[:, :count]
 
 
 def _join_up(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -155,7 +195,7 @@ def _join_up(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple
     place = np.searchsorted(both, right)
     for at in range(0, len(left), QUERIES_AT_ONCE):
         part = left[at:at + QUERIES_AT_ONCE]
-        near = close(part, sliced, len(right), radius)
+        near = close(part, sliced, len(right), radius, np.arange(at, at + len(part)) if left is right else None)
         for i, row in zip(np.searchsorted(both, part).tolist(), near):
             others = place[row]
             others = others[label[others] != label[i]]
@@ -215,8 +255,9 @@ def _exact_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], rad
     sliced = planes(fps)
     num, den = SIMILAR
     for at in range(0, len(nodes), QUERIES_AT_ONCE):
-        for i, row in enumerate(close(fps[at:at + QUERIES_AT_ONCE], sliced, len(nodes), radius), at):
-            others = np.flatnonzero(row[:i])
+        part = fps[at:at + QUERIES_AT_ONCE]
+        for i, row in enumerate(close(part, sliced, len(nodes), radius, np.arange(at, at + len(part))), at):
+            others = np.flatnonzero(row)
             small, large = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
             others = others[(label[others] != label[i]) & (small * den >= large * num)]
             mark[which[edge[i]:edge[i + 1]]] = 1
@@ -426,9 +467,32 @@ def similar_buckets(h: np.ndarray) -> np.ndarray:
     return common.mix64(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def similar_members(wrapped: DataFrame, size: int, radius: int, chunk: int) -> DataFrame:
+def rare_buckets(kinds: DataFrame, wrapped: DataFrame, size: int) -> DataFrame:
+    """``kinds`` (node, text_row, ...) with buckets that any two similar texts are sure to share.
+
+    A text's buckets are its rarest shingles, so many that a similar text, which lacks at most a fifth of
+    them, has one of those as well among its own rarest. Shingles of one text make no bucket.
+    """
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(raw.as_py(), size)).view(np.int64) for raw in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    texts = wrapped.select("_row", "_body").join(kinds.select("node", F.col("text_row").alias("_row")), "_row").select("node", "_body")
+    sets = texts.mapInArrow(common.by_batch(shingles), "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    each = cut_lineage(sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h")))
+    seen = each.groupBy("h").agg(F.count("*").alias("seen")).hint("rebalance")
+    num, den = SIMILAR
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("seen", "h"))
+    rare = each.join(seen, "h").withColumn("at", rank).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).where("seen > 1")
+    return kinds.drop("buckets").join(rare.groupBy("node").agg(F.collect_list("h").alias("buckets")), "node", "left")
+
+
+def similar_members(wrapped: DataFrame, size: int, radius: int, chunk: int, exact: bool = False) -> DataFrame:
     """(_row, _id, text_key, root, component_id): similar texts that share a bucket and lie within the radius are linked.
 
+    With ``exact`` every pair of similar texts is found, whatever the radius: buckets come from rare shingles.
+
     A radius that goes with a similarity of shingles well below 1 is too wide for bands of the fingerprint
     itself; buckets come from the shingles then, fingerprints give candidates, and the shingles decide.
     Fingerprints are those of the distinct shingles.
@@ -454,6 +518,8 @@ def similar_members(wrapped: DataFrame, size: int, radius: int, chunk: int) -> D
     kinds = marked.groupBy(F.col("text_key").alias("node")).agg(
         F.min("_id").alias("least"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"), F.first("n").alias("n"), F.min("_row").alias("text_row")
     )
+    if exact:
+        kinds, radius = cut_lineage(rare_buckets(kinds, wrapped, size)), BITS
     return _named(marked.select("_row", "_id", "text_key"), "text_key", kinds, similar_links(kinds, wrapped, size, radius, chunk))
 
 
@@ -464,15 +530,17 @@ def clusters(docs: DataFrame, size: int = 5, radius: int = 2, lower: bool = True
 
 
 def keep_one(
-    docs: DataFrame, size: int = 5, radius: int = SIMILAR_RADIUS, similar: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK
+    docs: DataFrame, size: int = 5, radius: int = SIMILAR_RADIUS, similar: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK,
+    exact: bool = False,
 ) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest id, null ids last, then of the least row hash.
 
     As it stands, for shingles of five words with a similarity of 0.8 or more: the sets of shingles decide
-    among texts within the radius. ``similar=False`` links all fingerprints within the radius, which must be small then.
+    among texts within the radius. ``exact`` finds every such pair, at the price of shuffling all shingle hashes.
+    ``similar=False`` links all fingerprints within the radius, which must be small then.
     """
     wrapped = common.wrap(docs, id_col, text_col)
-    found = similar_members(wrapped, size, radius, chunk) if similar else members(wrapped, size, radius, True, chunk)
+    found = similar_members(wrapped, size, radius, chunk, exact) if similar else members(wrapped, size, radius, True, chunk)
     keeper = found.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).getField("_row").alias("_row"))
     held = wrapped.join(keeper.select("_row").distinct(), "_row", "left_semi")
     # A row that repeats the keeper in id and text shares its hash; one of them stays.
