@@ -1,6 +1,7 @@
 """Boundary values of the scalar rules, text rules and group solvers."""
 
 import itertools
+import json
 import math
 import random
 
@@ -258,3 +259,33 @@ def test_windows_from_panes(spark):
     assert got == want and any(n == 0 for n, _ in want.values())
     with pytest.raises(ValueError):
         Q.pane_windows(None, None, ["r"], [3], 2.0, 1)
+
+
+def test_nested_advice(spark):
+    """Panels by tier, warnings with parameters, no summary without a pitch zone, no resonance without scores."""
+    vowels = spark.createDataFrame(
+        [(1, "a", 0.2, 3, True), (1, "m", 0.1, 9, False), (1, "e", 0.35, 2, True), (1, "i", 0.7, 2, True), (1, "o", 0.3, 1, True), (2, "a", 0.99, 4, True), (3, "a", 0.5, 4, True)],
+        "sid long, vowel string, resonance_med double, n long, is_vowel boolean")
+    scores = spark.createDataFrame([(1, "en", 0.4, True), (2, "en", 0.9, True), (3, "en", 0.5, False), (5, "fr", None, False)], "sid long, lang string, median_resonance double, low_quality boolean")
+    detail = SE.resonance_detail(vowels, scores, ["sid"])
+    panel = "struct<median_hz: double, range_zone: string>"
+    s = spark.createDataFrame(
+        [(1, 12.5, "female", 0.9, (200.0, "high")), (2, 31.0, "male", 0.6, (None, None)), (3, 9.994, "male", 0.9, (110.5, "low")), (4, 45.0, None, 0.0, (111.5, "low")), (5, 30.0, "male", 0.2, (99.0, "low"))],
+        f"sid long, recording_s double, dominant_label string, margin double, f0_panel {panel}",
+    ).withColumns({f"{x}_ratio": F.lit(0.25) for x in ("female", "male", "other")})
+    got = {r.sid: json.loads(r.j) for r in SE.advice(s.join(detail, "sid", "left"), ["sid"]).select("sid", F.to_json("advice", {"ignoreNullFields": "false"}).alias("j")).collect()}
+    assert list(got[1]) == ["schema_version", "gating_tier", "recording_duration_sec", "f0_panel", "tone_panel", "summary_panel", "resonance_panel", "warnings"]
+    assert [got[i]["gating_tier"] for i in range(1, 6)] == ["standard", "full", "minimal", "full", "full"]
+    assert got[1]["warnings"] == [{"key": "advice.warning.short_recording_standard", "params": {"duration": 12}}]
+    assert got[3]["warnings"] == [{"key": "advice.warning.short_recording_minimal", "params": {"duration": None}}] and got[2]["warnings"] == []
+    assert got[3]["f0_panel"]["median_hz"] == 110.5 and not any(got[3][p] for p in ("tone_panel", "summary_panel", "resonance_panel"))
+    assert got[1]["summary_panel"] == {"text_key": "advice.summary.high_leans_feminine", "text_params": {"f0": 200}}
+    assert got[2]["summary_panel"] is None and got[4]["summary_panel"]["text_params"] == {"f0": 112}
+    assert got[2]["tone_panel"] == {"ina_label_distribution": {f"{x}_frame_ratio": 0.25 for x in ("female", "male", "other")}, "tone_tendency_key": "weakly_masculine", "caveat_key": "ina.f0_bias_caveat"}
+    one = got[1]["resonance_panel"]
+    assert [(w["vowel"], w["n"], w["text_key"]) for w in one["weakness_vowels"]] == [(v, n, "advice.resonance.weakness.resonance_low") for v, n in (("a", 3), ("e", 2))]
+    assert [(w["level_key"], w["vowel"], w["is_vowel"]) for w in one["per_vowel"]] == [("weak", "m", False), ("weak", "a", True), ("weak", "e", True), ("good", "i", True)]
+    assert one["median_resonance"] == 0.275 and one["caveat_key"] == "advice.resonance.caveat.low_alignment" and one["summary_text_key"].startswith("advice.resonance.summary.")
+    assert got[2]["resonance_panel"]["caveat_key"] == "advice.resonance.caveat.score_clamp"
+    assert got[4]["resonance_panel"] is None
+    assert got[5]["resonance_panel"]["zone_key"] is None and got[5]["resonance_panel"]["summary_text_key"] is None and got[5]["resonance_panel"]["per_vowel"] == []

@@ -55,6 +55,35 @@ def test_identity(spark):
     assert got == {1: ("p0", "a b c", ["a", "b", "c"]), 2: ("custom", "q", ["q"]), 3: (None, "", []), 4: ("custom", "a b c", ["a", "b", "c"]), 5: ("custom", "!", [])}
 
 
+def test_preset_index_against_all_pairs(spark):
+    """Many presets, near and equal ones among them; repeated tokens, rows without tokens and of no language."""
+    rng = random.Random(2)
+    words = ["w%d" % i for i in range(60)]
+    presets = [(lang, o, f"{lang}{o}", rng.sample(words, rng.randrange(1, 25))) for lang in ("en", "fr") for o in range(40)]
+    presets += [("en", 40, "copy", presets[3][3]), ("en", 41, "none", [])]
+    said = []
+    for _ in range(300):
+        t = list(rng.choice(presets)[3])
+        for _ in range(rng.randrange(3)):
+            t = t[1:] if rng.random() < 0.5 else [*t, rng.choice(words)]
+        said.append((rng.choice(["en", "fr", None]), t + t[:2]))
+    rows = [(i, *x) for i, x in enumerate(said + [("en", []), ("xx", ["a"]), said[0], said[0]])]
+    s = spark.createDataFrame(rows, "id long, language string, tokens array<string>")
+    ps = spark.createDataFrame(presets, "language string, ord int, preset_id string, tokens array<string>")
+
+    def want(lang, tokens):
+        if not tokens:
+            return None, None
+        scores = [(len(set(tokens) & set(p)) / len(set(tokens) | set(p)), -o, name) for of, o, name, p in presets if of == lang]
+        best = max((x for x in scores if x[0] >= 0.85), default=None)
+        return (best[2], round(best[0], 9)) if best else ("custom", None)
+
+    got = {r.id: (r.script_id, r.preset_score and round(r.preset_score, 9)) for r in H.best_preset(s, ps, 0.85).collect()}
+    assert got == {i: want(lang, t) for i, lang, t in rows}
+    assert sum(v[0] not in (None, "custom") for v in got.values()) > 50
+    assert {r.script_id for r in H.best_preset(s, ps.limit(0), 0.85).collect()} == {None, "custom"}
+
+
 def _owned(spark, n=90, seed=4):
     """Phones of utterances with ties, lacking values, unknown sexes and speakers of different size."""
     rng = random.Random(seed)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from voxrill.functions import dims as D
 from voxrill.functions import scalar as S
 from voxrill.operators.quantiles import medians, quantiles
+from voxrill.session import cut_lineage
 
 VOICED = ("female", "male")
 
@@ -254,31 +255,55 @@ def resonance_panel(vowels: DataFrame, sessions: DataFrame, keys: Sequence[str])
     return out.select(*sessions.columns, "panel_score", zone.alias("zone_key"), caveat.alias("caveat_key"))
 
 
-def advice(sessions: DataFrame) -> DataFrame:
-    """Assemble the advice structure from per-session columns.
+def resonance_detail(vowels: DataFrame, sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, resonance): score, zone and caveat of a session with its weak vowels and the levels of all.
 
-    Needs recording_s, dominant_label, margin, f0_median, f0_zone, zone_key and
-    the label shares; the minimal tier has no sub-panels, only its warning.
+    ``sessions`` as for ``resonance_panel``. A session's vowels are bounded by the phone inventory.
+    """
+    k = list(keys)
+    vowels = cut_lineage(vowels)  # read three times, and much smaller than the phones behind it
+    weak = weakness_vowels(vowels, k).groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("rank", "vowel", "resonance_med", "n"))).alias("_weak"))
+    panel = resonance_panel(vowels, sessions, k).join(weak, k, "left").join(vowel_levels(vowels, k), k, "left")
+    weak_rows = F.transform("_weak", lambda x: F.struct(x["vowel"].alias("vowel"), F.round(x["resonance_med"], 3).alias("resonance_med"), x["n"].alias("n"), F.lit("advice.resonance.weakness.resonance_low").alias("text_key")))
+    empty = F.array()
+    return panel.select(*k, F.struct(
+        "zone_key", F.round("panel_score", 3).alias("median_resonance"), F.coalesce(weak_rows, empty).alias("weakness_vowels"),
+        F.coalesce("per_vowel", empty).alias("per_vowel"), F.concat(F.lit("advice.resonance.summary."), F.col("zone_key")).alias("summary_text_key"),
+        F.concat(F.lit("advice.resonance.caveat."), F.col("caveat_key")).alias("caveat_key"),
+    ).alias("resonance"))
+
+
+def advice(sessions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, advice): what is said about a session, as one nested value; ``to_json`` gives the document of it.
+
+    Needs recording_s, dominant_label, margin, the three label shares, the struct f0_panel (``frame_panel``) and
+    the struct resonance (``resonance_detail``), NULL where there are no scores. The minimal tier has no panels
+    but that of the pitch; there is no summary without a pitch zone.
     """
     secs = F.round("recording_s", 2)
     tier = S.duration_tier(secs)
-    tendency = S.tone_tendency(F.col("dominant_label"), F.col("margin"))
     shown = tier != "minimal"
-    summary_key = F.concat(F.lit("advice.summary."), F.col("f0_zone"), F.lit("_"), tendency)
+    tendency = S.tone_tendency(F.col("dominant_label"), F.col("margin"))
+    shares = F.struct(*[F.col(f"{x}_ratio").alias(f"{x}_frame_ratio") for x in ("female", "male", "other")])
+    tone = F.struct(shares.alias("ina_label_distribution"), tendency.alias("tone_tendency_key"), F.lit("ina.f0_bias_caveat").alias("caveat_key"))
+    zone = F.col("f0_panel.range_zone")
+    summary = F.struct(
+        F.concat(F.lit("advice.summary."), zone, F.lit("_"), tendency).alias("text_key"),
+        F.struct(F.bround("f0_panel.median_hz").cast("long").alias("f0")).alias("text_params"),
+    )
+
+    def warning(key: str, duration: Column) -> Column:
+        return F.struct(F.lit(f"advice.warning.{key}").alias("key"), F.struct(duration.cast("long").alias("duration")).alias("params"))
+
     warnings = F.array_compact(F.array(
-        F.when(tier == "minimal", F.lit("advice.warning.short_recording_minimal")),
-        F.when(tier == "standard", F.lit("advice.warning.short_recording_standard")),
+        F.when(tier == "minimal", warning("short_recording_minimal", F.lit(None))),
+        F.when(tier == "standard", warning("short_recording_standard", F.bround(secs))),
     ))
-    keep = [c for c in sessions.columns]
-    return sessions.select(
-        *keep, tier.alias("tier"),
-        F.when(shown, tendency).alias("tone_tendency"),
-        F.when(shown, F.struct("female_ratio", "male_ratio", "other_ratio")).alias("label_distribution"),
-        F.when(shown, summary_key).alias("summary_key"),
-        F.when(shown & summary_key.isNotNull(), F.bround("f0_median").cast("long")).alias("summary_f0"),
-        F.when(shown, F.concat(F.lit("advice.resonance.summary."), F.col("zone_key"))).alias("resonance_key"),
-        warnings.alias("warnings"),
-    )
+    return sessions.select(*keys, F.struct(
+        F.lit("v2").alias("schema_version"), tier.alias("gating_tier"), secs.alias("recording_duration_sec"), "f0_panel",
+        F.when(shown, tone).alias("tone_panel"), F.when(shown & zone.isNotNull(), summary).alias("summary_panel"),
+        F.when(shown, F.col("resonance")).alias("resonance_panel"), warnings.alias("warnings"),
+    ).alias("advice"))
 
 
 def dominant_of_three(segments: DataFrame, keys: Sequence[str], duration: Column) -> DataFrame:

@@ -252,35 +252,65 @@ def resonance_panel(spark, d):
     return SE.resonance_panel(P.per_vowel(sc, ["recording_id"]), s, ["recording_id"]).select("recording_id", "lang", F.round("panel_score", 6).alias("panel_score"), "zone_key", "caveat_key")
 
 
-@query("advice_panels", "P22 P12 P13 P14", ("dominant_v", "panel_v"), """
-SELECT session_id, tier, CASE WHEN tier <> 'minimal' THEN tend END AS tone_tendency,
+view("weak_v", """
+SELECT recording_id, string_agg(vowel || '=' || CAST(n AS VARCHAR) || ':' || CAST(CAST(round(resonance_med * 1000) AS BIGINT) AS VARCHAR), ' ' ORDER BY rank) AS weak FROM (
+  SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY resonance_med, n DESC, vowel) AS rank FROM vowel_v
+  WHERE n >= 2 AND is_vowel AND resonance_med < 0.40) WHERE rank <= 3 GROUP BY recording_id
+""", ("vowel_v",))
+view("levels_v", """
+SELECT recording_id, string_agg(lvl || ':' || vowel, ' ' ORDER BY CASE lvl WHEN 'weak' THEN 0 WHEN 'low' THEN 1 ELSE 2 END, resonance_med, n DESC, vowel) AS levels
+FROM (SELECT *, CASE WHEN resonance_med >= 0.65 THEN 'good' WHEN resonance_med >= 0.4 THEN 'low' ELSE 'weak' END AS lvl FROM vowel_v) GROUP BY recording_id
+""", ("vowel_v",))
+
+
+@query("advice_panels", "P22 P12 P13 P14", ("dominant_v", "panel_v", "rpanel_v", "weak_v", "levels_v"), """
+SELECT session_id, tier, median_hz AS f0_median, reliability AS f0_reliability, CASE WHEN tier <> 'minimal' THEN tend END AS tone_tendency,
   CASE WHEN tier <> 'minimal' THEN 'advice.summary.' || range_zone || '_' || tend END AS summary_key,
   CASE WHEN tier <> 'minimal' AND range_zone IS NOT NULL THEN CAST(round_even(median_hz, 0) AS BIGINT) END AS summary_f0,
   CASE WHEN tier <> 'minimal' THEN round(female_s / total_s, 4) END AS female_ratio,
-  CASE tier WHEN 'minimal' THEN 'advice.warning.short_recording_minimal' WHEN 'standard' THEN 'advice.warning.short_recording_standard' ELSE '' END AS warnings
+  CASE WHEN tier <> 'minimal' THEN zone_key END AS zone_key, CASE WHEN tier <> 'minimal' THEN round(panel_score, 3) END AS median_resonance,
+  CASE WHEN tier <> 'minimal' THEN 'advice.resonance.summary.' || zone_key END AS resonance_key,
+  CASE WHEN tier <> 'minimal' THEN CASE WHEN zone_key = 'at_ceiling' THEN 'advice.resonance.caveat.score_clamp' WHEN n_phones % 3 = 0 THEN 'advice.resonance.caveat.low_alignment' END END AS caveat_key,
+  CASE WHEN tier <> 'minimal' AND scored IS NOT NULL THEN coalesce(weak, '') END AS weak, CASE WHEN tier <> 'minimal' AND scored IS NOT NULL THEN coalesce(levels, '') END AS levels,
+  CASE tier WHEN 'minimal' THEN 'advice.warning.short_recording_minimal' WHEN 'standard' THEN 'advice.warning.short_recording_standard:' || CAST(CAST(round_even(secs, 0) AS BIGINT) AS VARCHAR) ELSE '' END AS warnings
 FROM (SELECT *, CASE WHEN secs < 10 THEN 'minimal' WHEN secs < 30 THEN 'standard' ELSE 'full' END AS tier,
-    CASE WHEN margin >= 0.4 THEN 'x' END AS _x,
     CASE WHEN dominant_label IS NULL THEN 'not_clearly_leaning'
       WHEN margin >= 0.78 THEN CASE dominant_label WHEN 'female' THEN 'leans_feminine' ELSE 'leans_masculine' END
       WHEN margin >= 0.50 THEN CASE dominant_label WHEN 'female' THEN 'weakly_feminine' ELSE 'weakly_masculine' END
       ELSE 'not_clearly_leaning' END AS tend
-  FROM (SELECT d.*, p.median_hz, p.range_zone, round(total_s / 8, 2) AS secs,
+  FROM (SELECT d.*, p.median_hz, p.range_zone, p.reliability, r.recording_id AS scored, r.zone_key, r.panel_score, r.n_phones, w.weak, l.levels, round(total_s / 8, 2) AS secs,
       round(CASE dominant_label WHEN 'female' THEN c_f WHEN 'male' THEN c_m ELSE 0 END, 4) AS margin
-    FROM dominant_v d JOIN panel_v p ON d.session_id = p.session_id))
+    FROM dominant_v d JOIN panel_v p ON d.session_id = p.session_id LEFT JOIN rpanel_v r ON d.session_id = r.recording_id
+      LEFT JOIN weak_v w ON d.session_id = w.recording_id LEFT JOIN levels_v l ON d.session_id = l.recording_id))
 """)
 def advice_panels(spark, d):
+    """The nested advice of every session, flattened."""
     sg = segs(spark, d)
     s = SE.session_summary(sg, SESSION).drop("female_ratio")
     lr = SE.label_ratio(sg, SESSION, F.sum("duration_s"))
     panel = SE.frame_panel(frames(spark, d), SESSION)
-    j = s.join(lr, SESSION).join(panel, SESSION).select(
+    panel = panel.select("session_id", F.struct(*[c for c in panel.columns if c != "session_id"]).alias("f0_panel"))
+    sc = PQ.scored(spark, d)
+    scores = P.recording_summary(sc, ["recording_id", "lang"]).select(F.col("recording_id").alias("session_id"), "lang", "median_resonance", (F.col("n_phones") % 3 == 0).alias("low_quality"))
+    detail = SE.resonance_detail(P.per_vowel(sc, ["recording_id"]).withColumnRenamed("recording_id", "session_id"), scores, SESSION)
+    j = s.join(lr, SESSION).join(panel, SESSION).join(detail, SESSION, "left").select(
         "session_id", (F.col("total_s") / 8).alias("recording_s"), "dominant_label", F.col("dominant_confidence").alias("margin"),
-        F.col("median_hz").alias("f0_median"), F.col("range_zone").alias("f0_zone"), F.lit(None).cast("string").alias("zone_key"),
-        "female_ratio", "male_ratio", "other_ratio",
+        "female_ratio", "male_ratio", "other_ratio", "f0_panel", "resonance",
     )
-    return SE.advice(j).select(
-        "session_id", "tier", "tone_tendency", "summary_key", "summary_f0",
-        F.col("label_distribution.female_ratio").alias("female_ratio"), F.array_join("warnings", ",").alias("warnings"),
+    out = SE.advice(j, SESSION)
+    a, r = F.col("advice"), F.col("advice.resonance_panel")
+    thousandths = lambda x: F.round(x * 1000).cast("long").cast("string")
+    weak = F.transform(r["weakness_vowels"], lambda x: F.concat(x["vowel"], F.lit("="), x["n"].cast("string"), F.lit(":"), thousandths(x["resonance_med"])))
+    levels = F.transform(r["per_vowel"], lambda x: F.concat(x["level_key"], F.lit(":"), x["vowel"]))
+    warned = F.transform(a["warnings"], lambda x: F.concat_ws(":", x["key"], x["params"]["duration"].cast("string")))
+    return out.select(
+        "session_id", a["gating_tier"].alias("tier"),
+        a["f0_panel"]["median_hz"].alias("f0_median"), a["f0_panel"]["reliability"].alias("f0_reliability"),
+        a["tone_panel"]["tone_tendency_key"].alias("tone_tendency"), a["summary_panel"]["text_key"].alias("summary_key"),
+        a["summary_panel"]["text_params"]["f0"].alias("summary_f0"), a["tone_panel"]["ina_label_distribution"]["female_frame_ratio"].alias("female_ratio"),
+        r["zone_key"].alias("zone_key"), r["median_resonance"].alias("median_resonance"), r["summary_text_key"].alias("resonance_key"),
+        r["caveat_key"].alias("caveat_key"), F.array_join(weak, " ").alias("weak"), F.array_join(levels, " ").alias("levels"),
+        F.array_join(warned, ",").alias("warnings"),
     )
 
 
