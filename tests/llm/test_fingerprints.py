@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from voxrill.llm import fingerprints
 
 
@@ -58,3 +60,19 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
     plan = fingerprints.edited_pairs(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_hot_and_null_ids_lie_in_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [(i, f"own {i}") for i in range(0, 300, 3)] + [(150, f"hot {i}") for i in range(200)] + [(None, f"none {i}") for i in range(200)] + [(-4, "low")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    dealt = df.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    ranges = dealt.withColumn("_range", fingerprints._ranges(dealt, 32))
+    share = {r["_id"]: (r["parts"], r["most"]) for r in ranges.groupBy("_id", "_range").count().groupBy("_id").agg(F.count("*").alias("parts"), F.max("count").alias("most")).collect()}
+    assert share[150][0] >= 8 and share[None][0] >= 8 and share[150][1] < 60 and share[None][1] < 60
+    hashed = dealt.select("_id", "_text", F.xxhash64("_text").alias("h")).collect()
+    ordered = sorted(hashed, key=lambda r: (r["_id"] is None, -(r["_id"] or 0), r["h"]))
+    want = sorted((a["_id"] if a["_id"] is not None else -1, a["_text"], b["_text"]) for a, b in zip(ordered, ordered[1:] + ordered[:1]))
+    got = fingerprints.with_next(df, "doc_id", "text").select(F.coalesce("_id", F.lit(-1)), "_text", "_next").collect()
+    assert sorted(map(tuple, got)) == want

@@ -14,6 +14,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,19 +111,40 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _ranges(rows: DataFrame, n: int) -> Column:
+    """The number of a row's range, of about ``n``, along descending ``_id`` (null last) and ascending hash of ``_text``."""
+    found = rows.select(
+        F.percentile_approx("_id", F.lit([k / n for k in range(1, n)]), F.lit(10 * n)).alias("edges"), F.count("*").alias("rows"),
+        F.count_if(F.col("_id").isNull()).alias("nulls"),
+    ).first()
+    times = Counter(found["edges"] or [])
+    cuts = F.array(*[F.lit(e) for e in sorted(times)]).cast("array<bigint>")
+    # An id that is the limit of several ranges has the rows of as many; it gets a range of its own, in so many parts.
+    hot = {e: k for e, k in times.items() if k > 1}
+    parts = F.when(F.col("_id").isNull(), F.lit(1 + n * found["nulls"] // max(found["rows"], 1)))
+    own = F.lit(0)
+    if hot:
+        shares = F.create_map(*[F.lit(x).cast("long") for pair in hot.items() for x in pair])
+        own = F.when(F.map_contains_key(shares, F.coalesce("_id", F.lit(min(hot) - 1))), 1).otherwise(0)
+        parts = F.coalesce(parts, F.element_at(shares, F.coalesce("_id", F.lit(min(hot) - 1))))
+    parts = F.coalesce(parts, F.lit(1).cast("long"))
+    by_id = F.when(F.col("_id").isNull(), F.lit(2 * n)).otherwise(2 * F.size(F.filter(cuts, lambda e: e > F.col("_id"))) + own)
+    part = F.floor((F.xxhash64("_text") / F.lit(2.0**64) + 0.5) * parts)
+    return (by_id * (n + 2) + F.least(part, parts - 1)).cast("long")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _text, _values, _next, _next_values): each row with the row that follows it in descending id.
 
-    The rows are dealt to ranges of the id. The first row of each range is also sent, as a guest, to the
-    end of the range before it (that of the first to the last), so one exchange of the rows is enough.
+    The rows are dealt to ranges of the id; an id with the rows of more than one range, and the rows without an id,
+    are cut further by the hash of the text, which comes next in the order. The first row of each range is also
+    sent, as a guest, to the end of the range before it (that of the first to the last), so one exchange of the
+    rows is enough.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     order = [F.desc_nulls_last("_id"), F.xxhash64("_text"), F.col("_text")]
-    n = 4 * common.partitions(spark)
-    edges = rows.select(F.percentile_approx("_id", F.lit([k / n for k in range(1, n)]), F.lit(10 * n))).first()[0] or []
-    cuts = F.array(*[F.lit(e) for e in sorted(set(edges))]).cast("array<bigint>")
-    dealt = rows.withColumn("_range", F.when(F.col("_id").isNull(), F.lit(n)).otherwise(F.size(F.filter(cuts, lambda e: e > F.col("_id")))))
+    dealt = rows.withColumn("_range", _ranges(rows, 4 * common.partitions(spark)))
     # The first row of each range: by id alone first, then of the rows with that id.
     first_ids = dealt.groupBy("_range").agg(F.max("_id").alias("_first"))
     used = [r["_range"] for r in first_ids.select("_range").orderBy("_range").collect()]
