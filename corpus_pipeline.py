@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. A stage's result is written to the shared folder and read again as the next one's input.
+
+Every stage takes null ids, sources and texts, empty and very long texts, repeated rows and empty tables, and
+passes columns on that are named like its own. What they give stands with each stage.
 """
 
 from __future__ import annotations
@@ -26,32 +29,52 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose clauses score below the threshold; learned from the labels of these documents."""
+    """Documents whose clauses score below the threshold; learned from the labels of these documents.
+
+    Null and empty texts have the score of a text without evidence. Equal texts have equal scores and share their
+    fate. An empty table stays empty.
+    """
     _small_batches(spark)
     return toxicity.reject_toxic(docs, toxicity.train_for(spark, docs, sf_dir), TOXIC)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that another document has as well stay in the first of them; lengths follow the texts."""
+    """Lines that another document has as well stay in the first of them; lengths follow the texts.
+
+    A null or empty text is one empty line, which never goes. Each row counts as a document, a repeated one as well.
+    An empty table stays empty.
+    """
     _small_batches(spark)
     kept = linededup.drop_lines(docs, min_docs=LINE_DOCS, min_chars=1, keep="first")
     return kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more."""
+    """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more.
+
+    The row of the smallest id stays, rows without an id coming last, and of rows equal in id and text one. Null and
+    empty texts and texts without words are one group. An empty table stays empty.
+    """
     _small_batches(spark)
     return simhash.keep_one(docs, size=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, repeats included, in shards that are shuffled locally."""
+    """Sources at their target weights, repeats included, in shards that are shuffled locally.
+
+    A null source is a source of its own. Null texts and texts without words have size 0. Rows that repeat another
+    in id, text and source share its fate. An empty table stays empty.
+    """
     _small_batches(spark)
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, with digests of the ids and of the text they decode to."""
+    """Token ids of every row, with digests of the ids and of the text they decode to.
+
+    A null text counts as empty and has the end id alone. Every row gives a row, repeated ones as well; an empty
+    table gives none.
+    """
     _small_batches(spark)
     return pieces.digests(docs, pieces.default_model(), with_ids=True)
 
